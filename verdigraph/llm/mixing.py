@@ -63,9 +63,13 @@ def mix(docs: DataFrame, key: str, source: str, size: Column, weights: tuple[flo
 
     weights: dealt to the sources in order of their names, again and again; share: of all sizes that the mix holds.
     """
-    base = docs.withColumn("_size", size.cast("long")).withColumn("_digest", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))))
-    base = base.withColumn("_bin", F.substring("_digest", 1, BIN_DIGITS))
-    sums = stored(base.groupBy(F.col(source).alias("_source"), "_bin").agg(F.sum("_size").alias("_in_bin")), "bins")
+    base = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("r"),
+        size.cast("long").alias("_size"),
+        F.col(source).cast("string").alias("_source"),
+        F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))).alias("_digest"),
+    ).withColumn("_bin", F.substring("_digest", 1, BIN_DIGITS))
+    sums = stored(base.groupBy("_source", "_bin").agg(F.sum("_size").alias("_in_bin")), "bins")
     totals = sums.groupBy("_source").agg(F.sum("_in_bin").alias("_source_size"))
     total = totals.agg(F.sum("_source_size")).first()[0] or 0
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
@@ -82,7 +86,7 @@ def mix(docs: DataFrame, key: str, source: str, size: Column, weights: tuple[flo
         .select(F.col("_source").alias("_s"), F.col("_bin").alias("_end"), (F.col("_through") - F.col("_in_bin")).alias("_before"))
     )
     plan = plan.join(ends, plan["_source"].eqNullSafe(ends["_s"]), "left").drop("_s")
-    base = base.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("-")))
+    base = base.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("-"))).drop("_source")
     plan = plan.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("-"))).drop("_source")
     tagged = base.join(plan, "_key")
     at_end = F.col("_bin") == F.col("_end")
@@ -92,7 +96,7 @@ def mix(docs: DataFrame, key: str, source: str, size: Column, weights: tuple[flo
     upto = F.col("_before") + F.sum("_size").over(groups) - F.col("_size") / 2
     more = F.when(F.col("_end").isNull() | (F.col("_bin") < F.col("_end")), F.col("_part") > 0).when(at_end, upto <= F.col("_part")).otherwise(F.lit(False))
     times = (F.col("_whole") + F.coalesce(more, F.lit(False)).cast("int")).cast("long")
-    return tagged.withColumn("_times", times)
+    return tagged.withColumn("_times", times).select("r.*", "_size", "_source_size", "_target", "_times")
 
 
 PRODUCTION = {"weights": (3, 1, 2), "share": 1.5, "max_epochs": 2.0, "seed": "mix-1"}

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, linededup, mixing, simhash, sstable
 
 
 def queries() -> dict:
     return {
+        "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op6_line_dedup": linededup.op6_line_dedup,
+        "op10_sstable_token_shards": sstable.op10_sstable_token_shards,
         "op7_mixing_target_weights": mixing.op7_mixing_target_weights,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_line_dedup": linededup.OP6_SQL,
         "op7_mixing_target_weights": mixing.OP7_SQL,
     }
