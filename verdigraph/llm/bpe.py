@@ -30,17 +30,22 @@ LONG_PIECE = 64
 SHORT_BYTES = 48
 
 #: Short pieces: the leftmost pair of the least rank, one a round.
+#: Rows know the next position and its token, so a round needs no sort: rank, position and next position of a piece's pick are one number.
 CONTRACT_ONE = f"""
-WITH RECURSIVE state(round, w, pos, id) AS (
-  SELECT 0, w, pos, id FROM start
+WITH RECURSIVE state(round, w, pos, id, nextpos, after) AS (
+  SELECT 0, w, pos, id, nextpos, after FROM start
   UNION ALL
-  SELECT round + 1, w, pos, CASE WHEN idx = best & 4294967295 THEN best >> 32 ELSE id END FROM (
-    SELECT *, min(here) OVER (PARTITION BY w) AS best FROM (
-      SELECT s.round, s.w, s.pos, s.id, s.idx, m.made << 32 | s.idx AS here
-      FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS after, row_number() OVER (PARTITION BY w ORDER BY pos) AS idx FROM state WHERE round < {ROUNDS}) s
-      LEFT JOIN merges m ON m.l = s.id AND m.r = s.after))
-  WHERE best IS NOT NULL AND idx <> (best & 4294967295) + 1)
-SELECT w, pos, id, round FROM (SELECT *, max(round) OVER (PARTITION BY w) AS last FROM state) WHERE round = last ORDER BY w, pos
+  (WITH pick AS (
+     SELECT s.w, min((m.made << 40) | (s.pos << 20) | s.nextpos) AS best
+     FROM state s JOIN merges m ON m.l = s.id AND m.r = s.after WHERE s.round < {ROUNDS} GROUP BY s.w),
+   pair AS (
+     SELECT p.w, p.best >> 40 AS made, (p.best >> 20) & 1048575 AS pos, p.best & 1048575 AS gone, s.nextpos, s.after
+     FROM pick p JOIN state s ON s.w = p.w AND s.pos = p.best & 1048575)
+   SELECT s.round + 1, s.w, s.pos, CASE WHEN s.pos = p.pos THEN p.made ELSE s.id END, CASE WHEN s.pos = p.pos THEN p.nextpos ELSE s.nextpos END,
+          CASE WHEN s.pos = p.pos THEN p.after WHEN s.nextpos = p.pos THEN p.made ELSE s.after END
+   FROM state s JOIN pair p ON s.w = p.w WHERE s.pos <> p.gone))
+SELECT s.w, s.pos, s.id, s.round FROM state s JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) f ON s.w = f.w AND s.round = f.round
+ORDER BY (s.w << 20) | s.pos
 """
 #: Long pieces: all pairs of the least rank from the left, where that is the same.
 CONTRACT_ALL = f"""
@@ -95,7 +100,9 @@ class DuckBPE:
         start = pa.table({"w": w, "pos": pos, "id": self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]})
         done = []
         while start.num_rows:
-            self.db.register("start", start)
+            w, pos, id_ = (start.column(c).to_numpy() for c in ("w", "pos", "id"))
+            inside = np.append(w[1:] == w[:-1], False)
+            self.db.register("start", pa.table({"w": w, "pos": pos, "id": id_, "nextpos": np.where(inside, np.append(pos[1:], 0), 0), "after": np.where(inside, np.append(id_[1:], 0), -1)}))
             out = self.db.sql(CONTRACT_ONE if lengths.max() <= SHORT_BYTES else CONTRACT_ALL).to_arrow_table()
             self.db.unregister("start")
             more = out.column("round").to_numpy() >= ROUNDS
