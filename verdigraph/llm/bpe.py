@@ -102,7 +102,7 @@ class DuckBPE:
         while start.num_rows:
             w, pos, id_ = (start.column(c).to_numpy() for c in ("w", "pos", "id"))
             inside = np.append(w[1:] == w[:-1], False)
-            self.db.register("start", pa.table({"w": w, "pos": pos, "id": id_, "nextpos": np.where(inside, np.append(pos[1:], 0), 0), "after": np.where(inside, np.append(id_[1:], 0), -1)}))
+            self.db.register("start", pa.table({"w": w, "pos": pos, "id": id_, "nextpos": np.where(inside, np.append(pos[1:], 0), -1), "after": np.where(inside, np.append(id_[1:], 0), -1)}))
             out = self.db.sql(CONTRACT_ONE if lengths.max() <= SHORT_BYTES else CONTRACT_ALL).to_arrow_table()
             self.db.unregister("start")
             more = out.column("round").to_numpy() >= ROUNDS
