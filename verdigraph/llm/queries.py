@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, simhash, sstable
+from . import audio, bpe, linededup, mixing, simhash, sstable, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_crf_toxicity": toxicity.op2_crf_toxicity,
+        "op3_audio_features": audio.op3_audio_features,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op6_line_dedup": linededup.op6_line_dedup,
