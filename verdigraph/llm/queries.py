@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, linededup, mixing, simhash, sstable, toxicity
+from . import audio, bpe, linededup, mixing, quality, simhash, sstable, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op6_line_dedup": linededup.op6_line_dedup,
+        "op9_quality_classifier": quality.op9_quality_classifier,
         "op10_sstable_token_shards": sstable.op10_sstable_token_shards,
         "op7_mixing_target_weights": mixing.op7_mixing_target_weights,
     }
