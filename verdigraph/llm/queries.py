@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, linededup, mixing, quality, simhash, sstable, toxicity
+from . import audio, bpe, brown, hnsw, linededup, mixing, quality, simhash, sstable, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_brown_class_lm": brown.op1_brown_class_lm,
+        "op4_hnsw_near_dedup": hnsw.op4_hnsw_near_dedup,
         "op2_crf_toxicity": toxicity.op2_crf_toxicity,
         "op3_audio_features": audio.op3_audio_features,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
