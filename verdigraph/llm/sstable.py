@@ -18,8 +18,11 @@ by text; an empty table gives no shard and no row; further columns are not read.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -178,28 +181,59 @@ class ShardReader:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizers file that drops white space, as bytes. Pieces between blanks are encoded once and kept.
+    """Ids of texts by a tokenizers file, as bytes. Pieces between blanks are encoded once and kept.
 
-    Cutting at blanks is sound only for such files: no piece, rule or normal form reaches over a blank."""
+    Sound only for files that drop white space and lower-case: no piece, rule or normal form reaches over a blank, and A-Z may be
+    lowered before. A piece that is one run of lower-case Latin letters, with at most one full stop or comma behind it, is what
+    normaliser and splitter would leave of it, so its runs go to the file's BPE model at once."""
 
-    def __init__(self, path: str, width: int, keep: int = 300_000) -> None:
+    def __init__(self, path: str, width: int, keep: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.keep, self.known = f"<u{width}", keep, {}
+        self.model = self.tokenizer.model
+        self.kind, self.keep, self.known = "H" if width == 2 else "I", keep, {}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = [c for c in map(chr, range(0x61, 0x250)) if unicodedata.category(c) in ("Ll", "Lo") and self.tokenizer.normalizer.normalize_str(c) == c]
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in latin}
+        self.plain = re.compile(f"([{''.join(latin)}]+)([.,]?)")
+
+    def _coded(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        rest = []
+        for piece in new:
+            if m := self.plain.fullmatch(word := piece.decode("utf-8", "surrogatepass")):
+                ids = [t.id for t in self.model.tokenize(m[1].translate(self.letters))]
+                if m[2]:
+                    ids += [t.id for t in self.model.tokenize(m[2])]
+                self.known[piece] = self._coded(ids)
+            else:
+                rest.append((piece, word))
+        for i in range(0, len(rest), 20_000):
+            some = rest[i : i + 20_000]
+            for (piece, _), got in zip(some, self.tokenizer.encode_batch_fast([w for _, w in some], add_special_tokens=False)):
+                self.known[piece] = self._coded(got.ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.known) > self.keep:
-            self.known = {}
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self.known.clear()
+        self._learn([x for x in set().union(*split) if x not in self.known])
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+
+
+_open: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, width: int) -> WordEncoder:
+    """One for each Python worker, which runs one task at a time."""
+    if (path, width) not in _open:
+        _open[path, width] = WordEncoder(path, width)
+    return _open[path, width]
 
 
 def opened(path: str, write: bool = False):
@@ -220,7 +254,7 @@ def write_shards(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: i
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange(parts(docs.sparkSession), "k", F.length("t")).sortWithinPartitions("k", "t")
 
     def write(batches):
-        encode, end = WordEncoder(tokenizer, width), end_id.to_bytes(width, "little")
+        encode, end = encoder(tokenizer, width), end_id.to_bytes(width, "little")
         part, seq, writer = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
