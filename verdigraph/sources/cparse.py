@@ -142,7 +142,7 @@ def occurrences(code: str, start: int, end: int, rows: Rows) -> dict:
 
 
 def declarations(file_key: str, text: str) -> list[dict]:
-    """Rows of a source text, one for each declarator."""
+    """Rows of a source text, one for each declarator; of those with equal signatures the last."""
     code, macros = masked(text)
     rows, source, out = Rows(text), text.split("\n"), []
 
@@ -190,7 +190,8 @@ def declarations(file_key: str, text: str) -> list[dict]:
                     add(kind, names[-1], "", static, [], start, end, False)
     if file_key.endswith(".c"):
         out += old_style(file_key, text, code, rows, {d["sig"]["name"] for d in out if d["sig"]["ftype"] == "func"})
-    return out
+    last = {(g["ftype"], g["name"], g["return_type"], g["is_static"], *g["param_types"]): d for d in out for g in [d["sig"]]}
+    return list(last.values())
 
 
 def _called_in(code: str, start: int, end: int, call: dict, rows: Rows) -> bool:

@@ -89,7 +89,7 @@ def scan_sources(spark: SparkSession, root: str, unit: Column | str | None = Non
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{c,cpp,h}").load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     of = X.parent_name(path) if unit is None else F.lit(unit) if isinstance(unit, str) else unit
-    return files.select(of.alias("unit"), path.alias("file_key"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(of.alias("unit"), path.alias("file_key"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def parse(sources: DataFrame, name: str = "tokens") -> tuple[DataFrame, DataFrame]:
