@@ -1,3 +1,4 @@
+import json
 import random
 from collections import defaultdict
 
@@ -108,7 +109,7 @@ def test_contexts(spark, tmp_path):
     assert got["w1"]["enclosing_function_bodies"][0].startswith("int mid") and got["w5"]["enclosing_function_bodies"] == []
     of = lambda k: [(r["level"], r["ord"], r["identifier"].split("'")[3]) for r in callers.orderBy("warning_id", "level", "ord").collect() if r["warning_id"] == k]
     assert of("w1") == [(1, 1, "original_main"), (1, 2, "other"), (2, 1, "leaf"), (3, 1, "helper"), (3, 2, "kr"), (4, 1, "twice")]
-    nested = {r["warning_id"]: r["callers_by_level"] for r in C.nested(context, callers).collect()}
+    nested = {r["warning_id"]: json.loads(r["j"]) for r in C.nested(context, callers).select("warning_id", F.to_json("callers_by_level").alias("j")).collect()}
     assert list(nested["w1"]) == ["1", "2", "3", "4"] and list(nested["w1"]["1"])[0].endswith("('int', 'char**'))") and nested["w5"] == {}
     assert {r["resolve_status"]: r["n"] for r in R.status_counts(context).collect()}["file_not_resolved"] == 2
     out = jobs.triage(context, callers, E.Offline, "offline", votes=3)
