@@ -8,7 +8,7 @@ for each end of each part. Only positions of lost lines leave the stream; they b
 
 Defined results: a null or empty text is one empty line and is kept; a key repeated inside its smallest document stays there each
 time; rows with one identifier are one document, null identifiers together one that sorts last; an empty table gives an empty result;
-further columns pass through, whatever their names.
+further columns pass through, but for those named as the three that are added, which they replace.
 """
 
 from __future__ import annotations
@@ -111,8 +111,8 @@ def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     joined = packed.join(lost, ["doc", "row"], "left").select("r", "_lost")
     whole = F.col("r").getField(text)
     n = F.coalesce(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long")
-    out = joined.select("r.*", n.alias("_lines"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("_dropped"), F.col("_lost"))
-    return out.withColumn("_keep", F.pandas_udf(_bitmap, "binary")(F.col("_lines"), F.col("_lost"))).drop("_lost")
+    own = [F.col("r").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_dropped", "_keep")]
+    return joined.select(*own, n.alias("_lines"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("_dropped"), F.pandas_udf(_bitmap, "binary")(n, F.col("_lost")).alias("_keep"))
 
 
 def _bitmap(lines, lost):
