@@ -10,7 +10,8 @@ all rows never meets in one task.
 
 Defined results: a null text has size 0, as an empty one; rows of size 0 are repeated as their source is and count nothing; a null
 source is a source of its own, last in order; repeated identifiers are rows of their own (equal digests are ordered by size, and
-rows equal in both are chosen together or not at all); an empty table gives an empty result; other columns pass through untouched.
+rows equal in both are chosen together or not at all); an empty table gives an empty result; other columns pass through, but for those named as
+the four that are added, which they replace.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .common import WORD, shared_dir, stored, table
 
 #: Hex digits of the digest that make a bin: 16 ** 3 bins a source.
 BIN_DIGITS = 3
+ADDED = ("_size", "_source_size", "_target", "_times")
 
 
 def ranked(sources: DataFrame, key: str, into: str) -> DataFrame:
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, key: str, source: str, size: Column, weights: tuple[flo
     upto = F.col("_before") + F.sum("_size").over(groups) - F.col("_size") / 2
     more = F.when(F.col("_end").isNull() | (F.col("_bin") < F.col("_end")), F.col("_part") > 0).when(at_end, upto <= F.col("_part")).otherwise(F.lit(False))
     times = (F.col("_whole") + F.coalesce(more, F.lit(False)).cast("int")).cast("long")
-    return tagged.withColumn("_times", times).select("r.*", "_size", "_source_size", "_target", "_times")
+    return tagged.withColumn("_times", times).select(*[F.col("r").getField(c).alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
 PRODUCTION = {"weights": (3, 1, 2), "share": 1.5, "max_epochs": 2.0, "seed": "mix-1"}
