@@ -107,6 +107,7 @@ class LabelModel:
 
 def voted(docs: DataFrame, text: str) -> DataFrame:
     """docs with _votes, a digit for each labeller."""
+    docs = docs.drop("_votes")
     schema = T.StructType([*docs.schema.fields, T.StructField("_votes", T.StringType())])
     names = [f.name for f in schema.fields]
 
@@ -184,6 +185,7 @@ def fitted(docs: DataFrame, key: str, text: str) -> tuple[LabelModel, Scorer, Da
 
 def scored(docs: DataFrame, text: str, model: LabelModel, scorer: Scorer) -> DataFrame:
     """docs with _posterior (of the labellers' votes) and _score (of the scorer)."""
+    docs = docs.drop("_posterior", "_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("_posterior", T.DoubleType()), T.StructField("_score", T.DoubleType())])
     names = [f.name for f in schema.fields]
 
