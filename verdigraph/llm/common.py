@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import scratch_path, shared_dir, stored
+
+__all__ = ["WORD", "crc_mod", "parts", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
+
 #: The word of the contracts; bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,34 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="verdigraph-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/verdigraph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to a table in the shared folder and read from there: lineage is cut, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -55,14 +27,6 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def rows_of(batches: Iterable[pa.RecordBatch], rows: int, columns: list[str]) -> Iterator[list[list]]:
-    """Columns as Python lists, at most so many rows at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield [part.column(c).to_pylist() for c in columns]
-
-
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(batch.schema.field(column).type) else pa.binary()

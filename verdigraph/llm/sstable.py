@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, parts, scratch_path, stored, table
+from .common import parts, scratch_path, stored, table
 
 MAGIC = b"VGSST001"
 BLOCK_BYTES = 1 << 16
