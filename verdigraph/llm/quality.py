@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import stored, table, text_bytes
 
 #: The bound of the scorer's sample.
-SAMPLE_DOCS, SAMPLE_BYTES = 3000, 8 << 20
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 4 << 20
 BUCKETS = 1 << 16
 ROUNDS, STEP = 60, 0.5
 KEEP = 0.5
