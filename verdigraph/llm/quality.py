@@ -130,7 +130,7 @@ def grams(text: bytes) -> np.ndarray:
 
 def dense(text: bytes) -> tuple[float, float]:
     m = measured(text)
-    return m[4], 1 - m[5] if m[7] else 0.0
+    return 8 * m[4], 8 * (1 - m[5]) if m[7] else 0.0
 
 
 class Scorer:
