@@ -1,0 +1,52 @@
+import json
+import subprocess
+import tarfile
+
+from pyspark.sql import functions as F
+
+from verdigraph.operators import callgraph as G
+from verdigraph.sources import fetch
+from verdigraph.sources import tables as S
+
+
+def test_ids_by_place(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.jsonl").write_text("".join(json.dumps({"project": "p", "warning_id": "own" if (i, k) == (1, 0) else None}) + "\n" for k in range(2)))
+    rows = S.read_jsonl(spark, str(tmp_path)).repartition(3, "warning_id")
+    got = [r["warning_id"] for r in S.with_ids(rows).orderBy("ordinal").collect()]
+    assert sorted(got) == sorted(["own", *(f"p__{i:04d}" for i in range(6) if got[i] != "own")]) and got.count("own") == 1
+
+
+def test_used_types_with_limits(spark):
+    use = "array<struct<name: string, row: int>>"
+    sig = "struct<ftype: string, name: string, return_type: string, is_static: boolean, param_types: array<string>>"
+    entry = lambda n, uses: ("u", "f", ("struct", n, "", False, []), [(x, r) for x, r in uses])
+    decls = spark.createDataFrame([entry("a", [("b", 1), ("c", 9)]), entry("b", [("d", 2), ("a", 3)]), entry("c", []), entry("d", [])], f"unit string, file_key string, sig {sig}, types_used {use}")
+    node = {r["n"]: r["x"] for r in decls.select(F.col("sig.name").alias("n"), G.node_id(F.col("unit"), F.col("file_key"), F.col("sig")).alias("x")).collect()}
+    roots = spark.createDataFrame([(node["a"], None), (node["b"], 2)], "start string, lineno int")
+    got = {(r["start"], r["node"]) for r in G.used_types(roots, decls).collect()}
+    assert got == {(node["a"], node[x]) for x in "abcd"} | {(node["b"], node[x]) for x in "bd"}
+
+
+def test_reports_as_files(spark, tmp_path):
+    r = spark.createDataFrame([("a:1", "m/x", "TP", None)], "warning_id string, model string, final_label string, project string")
+    assert [x[0] for x in S.export_reports(r, f"file://{tmp_path}").collect()] == ["m_x/a__1.json"]
+    assert json.loads((tmp_path / "m_x" / "a__1.json").read_text()) == {"warning_id": "a:1", "model": "m/x", "final_label": "TP", "project": None}
+
+
+def test_fetch(tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.c").write_text("int a;")
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", "-C", str(src), *a], check=True, capture_output=True, text=True).stdout.strip()
+    run("init", "-q")
+    run("add", ".")
+    run("commit", "-qm", "x")
+    head = run("rev-parse", "HEAD")
+    row = fetch.fetch("p q", str(src), head, tmp_path / "out")
+    assert row["ok"] and row["checked_out_commit"] == head and (tmp_path / "out" / f"p_q__{head[:12]}" / "a.c").exists()
+    assert fetch.fetch("p q", str(src), head, tmp_path / "out")["ok"] and not fetch.fetch("z", str(tmp_path / "none"), None, tmp_path / "out")["ok"]
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        t.add(src / "a.c", "top/a.c")
+    row = fetch.fetch("tar", f"file://{tmp_path}/t.tar.gz", None, tmp_path / "out")
+    assert row["ok"] and row["type"] == "tarball" and (tmp_path / "out" / "tar" / "a.c").exists()

@@ -39,10 +39,15 @@ def with_ids(warnings: DataFrame) -> DataFrame:
     missing = warnings.where("warning_id IS NULL OR warning_id = ''")
     if missing.isEmpty():
         return warnings
-    place = F.row_number().over(Window.orderBy("ordinal")) - 1
-    numbered = warnings.withColumn("_place", place)
+    # the ordinal's high bits are the input partition: places are counted inside it, and added to the rows of those before
+    part = F.shiftright("ordinal", 33)
+    before = warnings.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("ordinal")) - 1
+    numbered = warnings.withColumn("_part", part).withColumn("_inside", inside).join(F.broadcast(before), "_part")  # a row for each input partition
+    numbered = numbered.withColumn("_place", F.col("_inside") + F.col("_before"))
     made = F.concat(F.coalesce("project", F.lit("unknown")), F.lit("__"), F.lpad(F.col("_place").cast("string"), 4, "0"))
-    return numbered.withColumn("warning_id", F.coalesce(F.nullif("warning_id", F.lit("")), made)).drop("_place")
+    return numbered.withColumn("warning_id", F.coalesce(F.nullif("warning_id", F.lit("")), made)).drop("_part", "_inside", "_before", "_place")
 
 
 def unique_checkouts(warnings: DataFrame, projects: list[str] | None = None) -> DataFrame:
@@ -160,6 +165,26 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.withColumn("report_file", X.report_name(F.col("model"), F.col("warning_id"))).write.mode("append").partitionBy("model").option("ignoreNullFields", False).json(path)
 
 
+def export_reports(reports: DataFrame, folder: str) -> DataFrame:
+    """One JSON file for each report under folder (any store that Arrow opens), written by the tasks; (report_file) of what was written.
+    Writing again gives the same file."""
+    named = reports.select(X.report_name(F.col("model"), F.col("warning_id")).alias("report_file"), F.to_json(F.struct(*reports.columns), {"ignoreNullFields": "false"}).alias("body"))
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, inside = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{inside}/{name.rsplit('/', 1)[0]}")
+                with store.open_output_stream(f"{inside}/{name}") as out:
+                    out.write(body.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["report_file"])
+
+    return named.mapInArrow(write, "report_file string")
+
+
 def manifest_summary(df: DataFrame, status: str = "status") -> dict:
     """Counts by status: a handful of rows."""
     return {r[status]: r["n"] for r in df.groupBy(status).agg(F.count(F.lit(1)).alias("n")).collect()}
