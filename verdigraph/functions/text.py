@@ -5,6 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Headings and fillers of prompts, which answers and other tools refer to.
+FINDING_HEAD = "### SAST finding"
+FUNCTION_HEAD = "### Function containing the warning line"
+CALLERS_HEAD = "### Caller Context"
+LEVEL_HEAD = "## Caller level "
+CALLER_HEAD = "### Caller function: "
+BODY_HEAD = "// Enclosing function body "
+VARIANT_HEAD = "// Body variant "
+NO_BODY = "// Body not provided"
+TYPE_HEAD = "Warning type: "
+LINE_HEAD = "Warning code line: "
+NO_LINE = "unknown; source line was not provided in the record"
+NO_TYPE = "unknown"
+
 _EDGE = r"(?U)^\s+|\s+$"
 
 
@@ -24,7 +38,7 @@ def extract_label(response: Column) -> Column:
     """The label of an answer: a JSON object's label, upper-cased, null where it is none of the three; where there is no such object or
     no label in it, the first that a pattern finds."""
     inside = F.get_json_object(response, "$.label")
-    is_object = F.expr("true") & F.try_parse_json(response).isNotNull() & inside.isNotNull()
+    is_object = F.try_parse_json(response).isNotNull() & inside.isNotNull()
     told = F.upper(inside)
     found = F.upper(F.regexp_extract(response, r'(?iU)"label"\s*:\s*"(TP|FP|UNKNOWN)"', 1))
     return F.when(is_object, F.when(told.isin("TP", "FP", "UNKNOWN"), told)).otherwise(F.nullif(found, F.lit("")))
@@ -142,7 +156,7 @@ def identifier(file_key: Column, sig: Column, root: Column | None = None) -> Col
 def bug_type(c: Column) -> Column:
     """A list of types joined by commas; unknown where there is none."""
     parts = F.filter(F.transform(c, strip), lambda x: x != "")
-    return F.coalesce(F.nullif(F.array_join(parts, ", "), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(F.array_join(parts, ", "), F.lit("")), F.lit(NO_TYPE))
 
 
 def warning_line(*candidates: Column) -> Column:
@@ -151,12 +165,12 @@ def warning_line(*candidates: Column) -> Column:
 
 
 def finding(types: Column, line: Column) -> Column:
-    return F.concat(F.lit("Warning type: "), bug_type(types), F.lit("\nWarning code line: "), F.coalesce(line, F.lit("unknown; source line was not provided in the record")))
+    return F.concat(F.lit(TYPE_HEAD), bug_type(types), F.lit(f"\n{LINE_HEAD}"), F.coalesce(line, F.lit(NO_LINE)))
 
 
 def function_section(bodies: Column) -> Column:
     """Numbered bodies under their ordinals; null where all are blank."""
-    told = F.transform(bodies, lambda b, i: F.when(~blank(b), F.concat(F.lit("// Enclosing function body "), (i + 1).cast("string"), F.lit("\n"), number_lines(strip(b)))))
+    told = F.transform(bodies, lambda b, i: F.when(~blank(b), F.concat(F.lit(BODY_HEAD), (i + 1).cast("string"), F.lit("\n"), number_lines(strip(b)))))
     return F.nullif(F.array_join(F.filter(told, lambda x: x.isNotNull()), "\n\n"), F.lit(""))
 
 
@@ -164,14 +178,14 @@ def caller_chunk(identifier_: Column, bodies: Column) -> Column:
     """One caller: its heading and its numbered bodies."""
     full = F.transform(F.filter(F.coalesce(bodies, F.array().cast("array<string>")), lambda b: ~blank(b)), strip)
     several = F.size(full) > 1
-    told = F.transform(full, lambda b, i: F.concat(F.when(several, F.concat(F.lit("// Body variant "), (i + 1).cast("string"), F.lit("\n\n"))).otherwise(F.lit("")), number_lines(b)))
-    return F.concat(F.lit("### Caller function: "), identifier_, F.lit("\n\n"), F.when(F.size(full) == 0, F.lit("// Body not provided")).otherwise(F.array_join(told, "\n\n")))
+    told = F.transform(full, lambda b, i: F.concat(F.when(several, F.concat(F.lit(VARIANT_HEAD), (i + 1).cast("string"), F.lit("\n\n"))).otherwise(F.lit("")), number_lines(b)))
+    return F.concat(F.lit(CALLER_HEAD), identifier_, F.lit("\n\n"), F.when(F.size(full) == 0, F.lit(NO_BODY)).otherwise(F.array_join(told, "\n\n")))
 
 
 def input_sections(level: Column, sast: Column, function: Column, callers: Column) -> Column:
     """The prompt of a level, or null where a part that it needs is blank."""
-    head = F.concat(F.lit("### SAST finding\n"), strip(sast), F.lit("\n\n### Function containing the warning line\n"), strip(function))
-    with_callers = F.concat(head, F.lit("\n\n### Caller Context\n"), strip(callers))
+    head = F.concat(F.lit(f"{FINDING_HEAD}\n"), strip(sast), F.lit(f"\n\n{FUNCTION_HEAD}\n"), strip(function))
+    with_callers = F.concat(head, F.lit(f"\n\n{CALLERS_HEAD}\n"), strip(callers))
     return F.when((level < 1) | blank(sast) | blank(function), F.lit(None).cast("string")).when(level == 1, strip(head)).when(~blank(callers), strip(with_callers))
 
 

@@ -79,7 +79,7 @@ def prompts(planned: DataFrame, context: DataFrame, callers: DataFrame, system:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", X.caller_chunk(F.col("identifier"), F.col("bodies")).alias("chunk")))), lambda x: x["chunk"]), "\n\n").alias("chunk"),
         F.max(F.exists("bodies", lambda b: ~X.blank(b))).alias("full"),
     )
-    by_level = each.groupBy("warning_id").agg(F.array_sort(F.collect_list(F.struct("level", F.concat(F.lit("## Caller level "), F.col("level").cast("string"), F.lit("\n\n"), F.col("chunk")).alias("chunk"), "full"))).alias("by_level"))
+    by_level = each.groupBy("warning_id").agg(F.array_sort(F.collect_list(F.struct("level", F.concat(F.lit(X.LEVEL_HEAD), F.col("level").cast("string"), F.lit("\n\n"), F.col("chunk")).alias("chunk"), "full"))).alias("by_level"))
     rows = planned.join(own, "warning_id").join(by_level, "warning_id", "left")
     upto = F.filter(F.coalesce("by_level", F.array().cast(by_level.schema["by_level"].dataType)), lambda x: x["level"] < F.col("level"))
     rows = rows.withColumn("upto", upto)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: How a warning was resolved.
 STATUSES = ("no_call_graph", "file_not_resolved", "line_name_match", "line_name_multiple_first_used", "enclosing_line_match", "enclosing_line_multiple_smallest_span", "name_match", "name_multiple_first_used", "function_not_resolved")
 
 

@@ -7,6 +7,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW_S = 60.0
 AGAIN_S = 60.05
@@ -22,7 +23,6 @@ def admitted(requests: DataFrame, key: str, at: str, tokens: str, ordinal: str,
     """requests with admitted_at (seconds): each waits until the last minute's admitted tokens leave room. A wait moves those behind it, so
     a key's requests are gone through in order, as a stream of batches with a minute's admissions as state. One larger than the limit goes
     at once and isn't counted."""
-    schema = f"{requests.select(key, ordinal, at, tokens)._jdf.schema().toDDL()}, admitted_at double"
     ordered = requests.select(key, ordinal, F.col(at).cast("double").alias(at), tokens).repartition(key).sortWithinPartitions(key, ordinal)
 
     def run(batches):
@@ -50,4 +50,4 @@ def admitted(requests: DataFrame, key: str, at: str, tokens: str, ordinal: str,
                 out.append(clock)
             yield pdf.assign(admitted_at=pd.Series(out, index=pdf.index, dtype=float))
 
-    return ordered.mapInPandas(run, schema.replace(f"{at} {requests.schema[at].dataType.simpleString().upper()}", f"{at} DOUBLE"))
+    return ordered.mapInPandas(run, T.StructType([*ordered.schema.fields, T.StructField("admitted_at", T.DoubleType())]))

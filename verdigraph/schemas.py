@@ -28,7 +28,7 @@ USAGE = _struct(("input_tokens", _I), ("output_tokens", _I), ("total_tokens", _I
 LEVEL = _struct(("level", _I), ("label", _S), ("response", _S), ("reasoning", _S), ("usage", USAGE), ("estimated_input_tokens", _I), ("error", _S))
 CALLERS = T.MapType(_S, T.MapType(_S, T.ArrayType(_S)))
 
+# Labels, and the columns of a warning that a verdict repeats (its label becomes gold_label).
 VALID = ("TP", "FP", "UNKNOWN")
 DECISIVE = ("TP", "FP")
-#: Columns of a warning that a verdict repeats; its label becomes gold_label.
 METADATA = ("warning_id", "project", "file_path", "line_number", "bug_type", "sink_type", "SinkType", "code_line", "function", "enclosing_function", "enclosing_function_identifier", "resolve_status", "commit_id", "project_url", "repo_url")
