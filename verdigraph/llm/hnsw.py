@@ -23,7 +23,7 @@ from .components import components, forest
 
 COSINE = 0.9
 RECALL, AUDIT = 0.99, 64
-SHARDS, SHARD_ROWS = 6, 1 << 16
+SHARDS, SHARD_BYTES = 6, 32 << 20
 M, BUILD_BEAM, BEAM = 16, 64, 48
 TOGETHER = 4
 QUERIES = 512
@@ -267,7 +267,7 @@ def near_duplicates(vectors: DataFrame, key: str, vector: str, cosine: float = C
     fine = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
     each = named.where(F.col("vec_id").isNotNull() & fine).groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))
     sizes = {r["dim"]: r["n"] for r in each.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
-    shards = {d: max(SHARDS, -(-n // SHARD_ROWS)) for d, n in sizes.items()}
+    shards = {d: max(SHARDS, -(-n * 8 * d // SHARD_BYTES)) for d, n in sizes.items()}
     if not shards:
         none = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
         return _told(named, none)
