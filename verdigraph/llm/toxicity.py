@@ -29,7 +29,7 @@ from .common import crc_mod, table, text_bytes
 
 #: The bound of the sample: documents, and bytes of their texts. Whole texts are taken. Toxic words and the curve are learned from all
 #: of it; the field's weights from its toxic documents and as many others, up to FIELD_BYTES.
-SAMPLE_DOCS, SAMPLE_BYTES, FIELD_BYTES = 6000, 24 << 20, 3 << 20
+SAMPLE_DOCS, SAMPLE_BYTES, FIELD_BYTES = 6000, 24 << 20, 2 << 20
 CONTEXTS, RATIO = 5, 50.0
 ROUNDS, STEP, DECAY = 40, 1.0, 1e-6
 SPAN = 0.5
@@ -60,19 +60,25 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     return [((r["t"] or "").encode(), chosen[r[key]]) for r in sorted(got, key=lambda r: r[key]) if (r["n"] or 0) <= SAMPLE_BYTES]
 
 
-def lexicon(texts: list[tuple[list[bytes], int]]) -> set[bytes]:
-    """Word types that mark toxic documents."""
+def lexicon(pairs: list[tuple[bytes, int]]) -> set[bytes]:
+    """Word types that mark toxic documents. Only words with enough neighbours in toxic ones are counted in the others."""
     seen: dict[bytes, set] = defaultdict(set)
     bad, clean = Counter(), Counter()
-    for w, toxic in texts:
-        (bad if toxic else clean).update(set(w))
+    for text, toxic in pairs:
         if toxic:
+            w = words(text)
+            bad.update(set(w))
             for a, x, b in zip([b"", *w], w, [*w[1:], b""]):
-                seen[x].add((a, b))
-    n_bad, n_clean = sum(t for _, t in texts), sum(1 - t for _, t in texts)
+                seen[x].add(hash((a, b)))
+    some = {x for x, c in seen.items() if len(c) >= CONTEXTS}
+    for text, toxic in pairs:
+        if not toxic:
+            clean.update(some.intersection(words(text)))
+    n_bad = sum(t for _, t in pairs)
+    n_clean = len(pairs) - n_bad
     if not n_bad or not n_clean:
         return set()
-    return {x for x, c in seen.items() if len(c) >= CONTEXTS and (bad[x] + 0.5) / (n_bad + 1) >= RATIO * (clean[x] + 0.5) / (n_clean + 1)}
+    return {x for x in some if (bad[x] + 0.5) / (n_bad + 1) >= RATIO * (clean[x] + 0.5) / (n_clean + 1)}
 
 
 def marginals(e: np.ndarray, first: np.ndarray, a: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -135,7 +141,7 @@ class Field:
 
     def rows(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Row of each token of all texts, and the first tokens of texts that have any."""
-        lengths = np.array([len(t) for t in texts])
+        lengths = np.array([len(t) for t in texts], np.int64)
         ids = np.empty(lengths.sum(), np.int64)
         at = 0
         for t in texts:
@@ -212,34 +218,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def fit(pairs: list[tuple[bytes, int]]) -> Field:
-    texts = [(words(t), y) for t, y in pairs]
-    bad = lexicon(texts)
-    used = set()
-    for w, y in texts:
-        if y:
-            for i, x in enumerate(w):
-                if x in bad:
-                    used.update(w[max(0, i - 1) : i + 2])
-    common = Counter()
-    for w, _ in texts:
-        common.update(w)
-    used |= {x for x, _ in common.most_common(2000)}
-    field = Field({x: i + 1 for i, x in enumerate(sorted(used))})
+    """Texts are split where they are needed and not kept, so the driver holds little more than the sample."""
+    bad = lexicon(pairs)
     some, size = [], 0
-    for a, b in zip([w for w, y in texts if y], [w for w, y in texts if not y]):
-        size += sum(map(len, a)) + sum(map(len, b))
+    for a, b in zip([t for t, y in pairs if y], [t for t, y in pairs if not y]):
+        size += len(a) + len(b)
         if size > FIELD_BYTES and some:
             break
-        some += [(a, 1), (b, 0)]
+        some += [(words(a), 1), (words(b), 0)]
+    used, common = set(bad), Counter()
+    for w, y in some:
+        common.update(w)
+        for i, x in enumerate(w):
+            if y and x in bad:
+                used.update(w[max(0, i - 1) : i + 2])
+    used |= {x for x, _ in common.most_common(2000)}
+    field = Field({x: i + 1 for i, x in enumerate(sorted(used))})
     field.fit([w for w, _ in some], [np.array([y and x in bad for x in w], np.int64) for w, y in some])
-    y = np.array([y for _, y in texts], float)
-    if len(y):
-        if 0 < y.sum() < len(y):
-            field.curve = logistic(gathered(field.tag([w for w, _ in texts])), y)
-        else:
-            field.curve = np.array([30.0 if y[0] else -30.0, 0.0, 0.0, 0.0])
-    else:
+    y = np.array([y for _, y in pairs], float)
+    if not len(y):
         field.curve = np.array([-30.0, 0.0, 0.0, 0.0])
+    elif 0 < y.sum() < len(y):
+        seen = [gathered(field.tag([words(t) for t, _ in pairs[i : i + 256]])) for i in range(0, len(pairs), 256)]
+        field.curve = logistic(np.concatenate(seen, axis=1), y)
+    else:
+        field.curve = np.array([30.0 if y[0] else -30.0, 0.0, 0.0, 0.0])
     return field
 
 
@@ -257,6 +260,7 @@ def spans(text: bytes, p: np.ndarray) -> list[tuple[int, int]]:
 
 def tagged(docs: DataFrame, text: str, field: Field) -> DataFrame:
     """docs with _score, _predicted, _spans. The field is a few thousand weights, whatever the input."""
+    docs = docs.drop("_score", "_predicted", "_spans")
     schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
     names = [f.name for f in schema.fields]
 
