@@ -25,7 +25,7 @@ from .common import table
 
 ROUNDS = 24
 #: Pieces kept by a worker, and bytes of pieces in one query.
-KEEP, QUERY_BYTES = 250_000, 400_000
+KEEP, QUERY_BYTES = 150_000, 200_000
 LONG_PIECE = 64
 SHORT_BYTES = 48
 
@@ -84,7 +84,7 @@ class DuckBPE:
                     right.append(b)
                     made.append(rank)
                     unsafe |= {x for x in (a, b) if x > rank}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "192MB"})
         whole = [r not in unsafe for r in made]
         merges = pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()), "made": pa.array(made, pa.int64()), "whole": pa.array(whole)})  # noqa: F841
         tokens = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "bytes": pa.array([t.hex() for t in self.ranks], pa.string())})  # noqa: F841
@@ -139,18 +139,20 @@ class DuckBPE:
         """Of each text, the ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
         split = [pattern.findall(t.decode("utf-8", "surrogatepass")) for t in texts]
         if len(self.known) > KEEP:
-            self.known = {}
-        new = list(set().union(*split) - self.known.keys())
+            self.known.clear()
+        known = self.known
+        new = [x for x in set().union(*split) if x not in known]
         coded = [x.encode("utf-8", "surrogatepass") for x in new]
         got = self.learn(coded)
-        fresh = {x: got[c] for x, c in zip(new, coded)}
-        known = self.known | {x: v for x, v in fresh.items() if len(x) <= LONG_PIECE} if fresh else self.known
-        self.known = known
-        look = {**known, **{x: v for x, v in fresh.items() if len(x) > LONG_PIECE}} if any(len(x) > LONG_PIECE for x in new) else known
+        for x, c in zip(new, coded):
+            known[x] = got[c]
         out = []
         for pieces in split:
-            pairs = [look[p] for p in pieces]
+            pairs = [known[p] for p in pieces]
             out.append((b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
+        for x in new:  # long pieces hardly come again
+            if len(x) > LONG_PIECE:
+                del known[x]
         return out
 
 
@@ -164,7 +166,7 @@ def coder(path: str) -> DuckBPE:
     return _open[path]
 
 
-def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str], rows: int = 512) -> DataFrame:
+def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str], rows: int = 256) -> DataFrame:
     """The columns ``keep`` of docs, with ids (little-endian unsigned 32-bit integers) and decoded (bytes)."""
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 

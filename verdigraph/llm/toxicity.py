@@ -266,8 +266,8 @@ def tagged(docs: DataFrame, text: str, field: Field) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = text_bytes(part, text)
                 split = [words(t) for t in texts]
                 p = field.tag(split)
