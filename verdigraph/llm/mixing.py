@@ -88,13 +88,15 @@ def mix(docs: DataFrame, key: str, source: str, size: Column, weights: tuple[flo
         .select(F.col("_source").alias("_s"), F.col("_bin").alias("_end"), (F.col("_through") - F.col("_in_bin")).alias("_before"))
     )
     plan = plan.join(ends, plan["_source"].eqNullSafe(ends["_s"]), "left").drop("_s")
-    base = base.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("-"))).drop("_source")
-    plan = plan.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("-"))).drop("_source")
-    tagged = base.join(plan, "_key")
+    # a source's rows are dealt by the digest's first digit too, and its plan is there for each digit
+    salt = F.explode(F.array(*[F.lit(d) for d in "0123456789abcdef"]))
+    base = base.withColumns({"_key": F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("-")), "_salt": F.substring("_digest", 1, 1)}).drop("_source")
+    plan = plan.withColumns({"_key": F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("-")), "_salt": salt}).drop("_source")
+    tagged = base.join(plan, ["_key", "_salt"])
     at_end = F.col("_bin") == F.col("_end")
     closing = F.when(at_end, F.col("_digest"))
     # rows outside the closing bins get groups of their own, by digest, so that none of them gathers
-    groups = Window.partitionBy("_key", F.when(at_end, F.lit("")).otherwise(F.col("_digest"))).orderBy(closing, "_size")
+    groups = Window.partitionBy("_key", "_salt", F.when(at_end, F.lit("")).otherwise(F.col("_digest"))).orderBy(closing, "_size")
     upto = F.col("_before") + F.sum("_size").over(groups) - F.col("_size") / 2
     more = F.when(F.col("_end").isNull() | (F.col("_bin") < F.col("_end")), F.col("_part") > 0).when(at_end, upto <= F.col("_part")).otherwise(F.lit(False))
     times = (F.col("_whole") + F.coalesce(more, F.lit(False)).cast("int")).cast("long")
