@@ -305,6 +305,17 @@ def test_similar_documents(spark):
     assert len(kept) == len(set(got.values())) + 2
 
 
+def test_similar_documents_at_the_threshold(spark):
+    def text(i, own, size):
+        return " ".join([*(f"a{i}_{k}" for k in range(size)), *(f"{own}{i}_{k}" for k in range(34))])
+
+    # a shared run of 304 words is 300 of 368 shingles (0.815); one of 244 is 240 of 308 (0.779)
+    rows = [(i * 2 + k, text(i, own, 304 if i < 200 else 244)) for i in range(400) for k, own in enumerate("xy")]
+    got = {r["doc_id"]: r["component_id"] for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert sum(got[i * 2 + 1] == i * 2 for i in range(200)) >= 199
+    assert all(got[i * 2 + 1] == i * 2 + 1 for i in range(200, 400))
+
+
 # 6
 
 
