@@ -316,6 +316,16 @@ def test_similar_documents_at_the_threshold(spark):
     assert all(got[i * 2 + 1] == i * 2 + 1 for i in range(200, 400))
 
 
+def test_all_pairs_of_a_long_posting(spark, monkeypatch):
+    monkeypatch.setattr(similar, "POSTING", 20)
+    sets = [(i, np.arange(i * 100, i * 100 + 50, dtype="<u8")) for i in range(90)]
+    for i in range(0, 30):  # pairs far from the posting's first entry
+        sets.append((100 + i, np.arange((60 + i) * 100 + 5, (60 + i) * 100 + 50, dtype="<u8")))
+    posted = spark.createDataFrame([(7, i) for i, _ in sets], "key long, node long")
+    found = similar.links(posted, spark.createDataFrame([(i, h.tobytes()) for i, h in sets], "node long, h binary"))
+    assert {tuple(r) for r in found.collect()} == {(100 + i, 60 + i) for i in range(30)}
+
+
 # 6
 
 
