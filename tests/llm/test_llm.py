@@ -240,6 +240,29 @@ def test_graph_recall():
     assert len(g.layers) > 1
 
 
+def test_audit_counts_links_of_sparse_queries_only():
+    """A dense third is answered exactly and must not pay for links that the graph misses elsewhere."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    x[2::3] = x[2] + rng.normal(size=(1000, 24)) * 0.01
+    x[1::3] = x[0::3] + rng.normal(size=(1000, 24)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    class Blind(hnsw.Graph):
+        """Finds only the dense group, and a row itself."""
+
+        def search(self, q, beam):
+            ids = np.full((len(q), beam), -1)
+            ids[:, 0] = np.arange(len(q))
+            ids[2::3] = np.arange(2, 3 * beam, 3)
+            return ids, np.where(ids >= 0, 1.0, -2.0)
+
+    g = Blind(x.astype(np.float32), [])
+    a, b, whole = hnsw.found_links(g, x, x, g.x, 0.9, True)
+    got = set(zip(a.tolist(), b.tolist()))
+    assert all((i, i + 1) in got or i in set(whole.tolist()) for i in range(0, 3000, 3))
+
+
 # 5
 
 

@@ -2,7 +2,8 @@
 
 Vectors are dealt to shards by a hash of their identifier. A task builds a shard's graph; another takes a pair of shards and queries
 each one's graph with the other's vectors. Searches go in lockstep: all queries of a block move their beams together. A beam is widened
-until an audit (exact answers for some queries of the task) finds at least ``RECALL`` of all links; a query whose whole beam is
+until an audit (exact answers for some queries of the task) finds at least ``RECALL`` of the links of queries that the graph answers, over
+``LINKS`` such links or all queries; a query whose whole beam is
 near enough, so that more may follow, is answered exactly, block by block. Links that either side found are verified in double precision and
 counted; only counts and a spanning forest leave the task, never all pairs of a dense group. Components come from the forests.
 
@@ -22,7 +23,7 @@ from .common import stored, table
 from .components import components, forest
 
 COSINE = 0.9
-RECALL, AUDIT = 0.99, 64
+RECALL, AUDIT, LINKS = 0.99, 64, 500
 SHARDS, SHARD_BYTES = 6, 32 << 20
 M, BUILD_BEAM, BEAM = 16, 64, 48
 TOGETHER = 4
@@ -184,11 +185,13 @@ def exact(q: np.ndarray, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.n
     return np.nonzero(q @ x.T >= cosine)
 
 
-def found_links(graph: Graph, x: np.ndarray, q: np.ndarray, q32: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (query, row) that the graph gives, verified; and the queries that must be answered exactly: a beam full of links."""
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    a, b = exact(q[audit], x, cosine)
-    truth = set(zip(audit[a].tolist(), b.tolist()))
+def found_links(graph: Graph, x: np.ndarray, q: np.ndarray, q32: np.ndarray, cosine: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (query, row) that the graph gives, verified; and the queries that must be answered exactly: a beam full of links. ``same``: the
+    queries are the rows, so row i is no link of query i.
+
+    Queries without a full beam are audited, AUDIT at a time, until they hold LINKS links. Where all are, the audit is the answer."""
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    truth_a, truth_b, audited = np.zeros(0, int), np.zeros(0, int), np.zeros(len(q), bool)
     beam = BEAM
     while beam < len(x):
         ids, sims = graph.search(q32, beam)
@@ -199,9 +202,23 @@ def found_links(graph: Graph, x: np.ndarray, q: np.ndarray, q32: np.ndarray, cos
         rows = ids[r, c]
         ok = np.concatenate([np.einsum("kd,kd->k", q[r[i : i + 100_000]], x[rows[i : i + 100_000]]) >= cosine for i in range(0, len(r), 100_000)] or [np.zeros(0, bool)])
         r, rows = r[ok], rows[ok]
-        hit = set(zip(r.tolist(), rows.tolist()))
-        missed = sum((i, j) not in hit and not full[i] for i, j in truth)
-        if missed <= (1 - RECALL) * len(truth):
+        links = int((~full[truth_a]).sum())
+        left = order[~full[order] & ~audited[order]]
+        for at in range(0, len(left), AUDIT):
+            if links >= LINKS:
+                break
+            some = left[at : at + AUDIT]
+            audited[some] = True
+            a, b = exact(q[some], x, cosine)
+            a = some[a]
+            if same:
+                a, b = a[a != b], b[a != b]
+            truth_a, truth_b, links = np.concatenate([truth_a, a]), np.concatenate([truth_b, b]), links + len(a)
+        counted = ~full[truth_a]
+        if (audited | full).all():
+            return truth_a[counted], truth_b[counted], np.flatnonzero(full)
+        missed = int((~np.isin(truth_a[counted] * len(x) + truth_b[counted], r * len(x) + rows)).sum())
+        if missed <= (1 - RECALL) * links:
             return r, rows, np.flatnonzero(full)
         beam *= 2
     return np.zeros(0, int), np.zeros(0, int), np.arange(len(q))
@@ -216,7 +233,7 @@ def linked(one: tuple, two: tuple | None, cosine: float):
     shift = n if two else 0
     counts = np.zeros(n + (m if two else 0), np.int64)
     root = np.arange(len(counts))
-    a1, b1, full_x = found_links(h, y, x, g.x, cosine)
+    a1, b1, full_x = found_links(h, y, x, g.x, cosine, not two)
     a2, b2, full_y = (np.zeros(0, int), np.zeros(0, int), full_x) if not two else (lambda r: (r[1], r[0], r[2]))(found_links(g, x, y, h.x, cosine))
     exact_x, exact_y = np.zeros(n, bool), np.zeros(m, bool)
     exact_x[full_x], exact_y[full_y] = True, True
