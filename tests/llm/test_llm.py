@@ -489,6 +489,20 @@ def test_label_model_recovers_accuracies():
     assert abs(m.share - 0.7) < 0.06 and np.abs(np.array(told) - [0.95, 0.9, 0.85, 0.8]).max() < 0.06
 
 
+def test_samples_pass_over_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    ids = [r[0] for r in spark.range(40).orderBy(F.xxhash64("id"), "id").collect()]  # in the order of the samples
+    rows = [(k, "word " * (400 if at in (0, 5) else 120 if at in (1, 3) else 4)) for at, k in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic int")
+    assert len(toxicity.sample(docs, labels, "doc_id", "text", "toxic")) == 21
+    seen = []
+    monkeypatch.setattr(quality.Scorer, "fit", lambda self, texts, y: seen.extend(texts))
+    quality.fitted(docs, "doc_id", "text")
+    assert len(seen) == 21 and sum(map(len, seen)) == 1000
+
+
 # 10
 
 

@@ -167,13 +167,11 @@ def fitted(docs: DataFrame, key: str, text: str) -> tuple[LabelModel, Scorer, Da
     told = stored(voted(docs.select(key, text, F.octet_length(text).alias("_n")), text).select(key, "_n", "_votes"), "votes")
     patterns = [(tuple(map(int, r["_votes"])), r["n"]) for r in told.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).orderBy("_votes").collect()]  # at most 3 ** 7 rows
     model, scorer = LabelModel(patterns), Scorer()
-    first = told.where(f"{key} IS NOT NULL").orderBy(F.xxhash64(key), key, "_votes").limit(SAMPLE_DOCS).collect()
+    first = told.where(f"{key} IS NOT NULL AND coalesce(_n, 0) <= {SAMPLE_BYTES}").orderBy(F.xxhash64(key), key, "_votes").limit(SAMPLE_DOCS).collect()
     chosen, total = {}, 0
     for r in first:
-        total += r["_n"] or 0
-        if total > SAMPLE_BYTES and chosen:
-            break
-        if (r["_n"] or 0) <= SAMPLE_BYTES:
+        if total + (r["_n"] or 0) <= SAMPLE_BYTES:  # one that doesn't fit any more is passed over
+            total += r["_n"] or 0
             chosen[r[key]] = tuple(map(int, r["_votes"]))
     if chosen:
         ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], T.StructType([T.StructField("_k", docs.schema[key].dataType)]))

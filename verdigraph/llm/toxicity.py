@@ -46,13 +46,12 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     """Labelled texts in order of a hash of their identifiers, up to the bound: two bounded collects."""
     known = labels.where(f"{label} IS NOT NULL AND {key} IS NOT NULL").groupBy(key).agg(F.max(label).alias(label))
     sized = docs.select(key, F.octet_length(text).alias("_n")).where(f"{key} IS NOT NULL").groupBy(key).agg(F.max("_n").alias("_n"))
-    first = sized.join(known, key).orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS).collect()
+    first = sized.where(f"coalesce(_n, 0) <= {SAMPLE_BYTES}").join(known, key).orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS).collect()
     chosen, total = {}, 0
     for r in first:
-        total += r["_n"] or 0
-        if total > SAMPLE_BYTES and chosen:
-            break
-        chosen[r[key]] = int(r[label])
+        if total + (r["_n"] or 0) <= SAMPLE_BYTES:  # one that doesn't fit any more is passed over
+            total += r["_n"] or 0
+            chosen[r[key]] = int(r[label])
     if not chosen:
         return []
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], T.StructType([T.StructField("_k", docs.schema[key].dataType)]))
