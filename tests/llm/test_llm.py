@@ -454,6 +454,28 @@ def test_bpe(spark, tmp_path):
     assert bpe.op8_byte_bpe(spark, saved(spark, tmp_path / "e", documents=odd(spark, []))).count() == 0
 
 
+def test_bpe_of_long_pieces():
+    """Against tiktoken; the time grows with the length, not with its square."""
+    import time
+
+    import regex
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, cut = bpe.DuckBPE(path), regex.compile(P.PATTERN)
+    random.seed(19)
+    letters = lambda some, n: "".join(random.choice(some) for _ in range(n))
+    took = {}
+    for text in (letters("abcdefghijklmnopqrstuvwxyz", 100_000), letters("abcdefghijklmnopqrstuvwxyz", 200_000), "=" * 50_000, " " * 50_000 + "x", "ab" * 20_000, letters("ab", 9000), letters("日本語漢字", 9000), "-=" * 3000 + "_" * 5000):
+        t = time.time()
+        ids, back = coder([text.encode()], cut)[0]
+        took[len(text)] = time.time() - t
+        assert ids == np.array(enc.encode_ordinary(text), "<u4").tobytes() and back == text.encode()
+    assert took[200_000] < 4 * took[100_000] + 1 and took[200_000] < 30
+
+
 # 9
 
 

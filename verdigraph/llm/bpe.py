@@ -1,10 +1,15 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries, one database per Python worker.
 
-A text is cut by the pattern of the rank file; each distinct piece is encoded once per worker. In the database a piece is a set of
-token-position rows. A recursive query joins each position and the next with the merge table, takes each piece's minimum rank, and
-contracts its leftmost pair of that rank; rounds go on until no piece has a pair. Where no token can start or end with the new one at a
-lower rank, a round contracts all pairs of that rank from the left, which is what the next rounds would do. The query runs ``ROUNDS``
-rounds at a time, so that a very long piece doesn't pile up all its intermediate rows. Decoding aggregates the tokens' bytes in order.
+A text is cut by the pattern of the rank file; each distinct piece is encoded once per task. A piece that is a token is its rank, as the
+format has it. In the database any other piece is a set of token-position rows. A recursive query joins each position and the next with the
+merge table, takes each piece's minimum rank, and contracts its leftmost pair of that rank; rounds go on until no piece has a pair. Decoding
+aggregates the tokens' bytes in order.
+
+Rounds grow with a piece's length, so a piece over ``SHORT_BYTES`` is contracted in windows. Contraction inside a stretch whose ends are never
+crossed doesn't depend on what lies outside. Hence a row of tokens is a text's encoding if, and only if, each two neighbours are the
+encoding of their joined bytes. Two windows that share a token therefore continue each other there. Where they share none (runs of one
+sign), the next window starts at an end of a token of this one, such that the two tokens at that place pass this test. Time is proportional
+to the length. If no place passes, the whole piece is contracted, all pairs of the least rank in a round where that is provably the same.
 
 Defined results: null and empty texts have no ids and decode to no bytes; special tokens are ordinary text; further columns pass
 through where they are asked for.
@@ -13,7 +18,7 @@ through where they are asked for.
 from __future__ import annotations
 
 import base64
-import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import released, table
 
 ROUNDS = 24
-#: Pieces kept by a worker, and bytes of pieces in one query.
-KEEP, QUERY_BYTES = 150_000, 200_000
+#: Pieces kept by a task, rows that a query's rounds may make, and pieces decoded at a time.
+KEEP, QUERY_ROWS, DECODED = 150_000, 2_000_000, 40_000
 LONG_PIECE = 64
-SHORT_BYTES = 48
+#: Longest piece, or window of a piece, that is contracted pair by pair; and the bytes by which windows overlap.
+SHORT_BYTES, OVERLAP = 64, 24
 
 #: Short pieces: the leftmost pair of the least rank, one a round.
 #: Rows know the next position and its token, so a round needs no sort: rank, position and next position of a piece's pick are one number.
@@ -47,7 +53,7 @@ WITH RECURSIVE state(round, w, pos, id, nextpos, after) AS (
 SELECT s.w, s.pos, s.id, s.round FROM state s JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) f ON s.w = f.w AND s.round = f.round
 ORDER BY (s.w << 20) | s.pos
 """
-#: Long pieces: all pairs of the least rank from the left, where that is the same.
+#: Pieces of any length: all pairs of the least rank from the left, where that is the same.
 CONTRACT_ALL = f"""
 WITH RECURSIVE state(round, w, pos, id) AS (
   SELECT 0, w, pos, id FROM start
@@ -84,16 +90,18 @@ class DuckBPE:
                     right.append(b)
                     made.append(rank)
                     unsafe |= {x for x in (a, b) if x > rank}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "192MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         whole = [r not in unsafe for r in made]
         merges = pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()), "made": pa.array(made, pa.int64()), "whole": pa.array(whole)})  # noqa: F841
         tokens = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "bytes": pa.array([t.hex() for t in self.ranks], pa.string())})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM tokens")
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.tokens = {i: t for t, i in self.ranks.items()}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.seen: dict[bytes, list[int]] = {}
 
-    def ids(self, pieces: list[bytes]) -> pa.Table:
-        """w, pos, id of pieces, which are not empty."""
+    def ids(self, pieces: list[bytes], whole: bool = False) -> pa.Table:
+        """w, pos, id of pieces, which are not empty and of SHORT_BYTES at most, or any length if ``whole``."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         w = np.repeat(np.arange(len(pieces)), lengths)
         pos = np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -103,12 +111,68 @@ class DuckBPE:
             w, pos, id_ = (start.column(c).to_numpy() for c in ("w", "pos", "id"))
             inside = np.append(w[1:] == w[:-1], False)
             self.db.register("start", pa.table({"w": w, "pos": pos, "id": id_, "nextpos": np.where(inside, np.append(pos[1:], 0), -1), "after": np.where(inside, np.append(id_[1:], 0), -1)}))
-            out = self.db.sql(CONTRACT_ONE if lengths.max() <= SHORT_BYTES else CONTRACT_ALL).to_arrow_table()
+            out = self.db.sql(CONTRACT_ALL if whole else CONTRACT_ONE).to_arrow_table()
             self.db.unregister("start")
             more = out.column("round").to_numpy() >= ROUNDS
-            done.append(out.filter(pa.array(~more)).select(["w", "pos", "id"]))
+            done.append((out.filter(pa.array(~more)) if more.any() else out).select(["w", "pos", "id"]))
             start = out.filter(pa.array(more)).select(["w", "pos", "id"])
-        return pa.concat_tables(done).sort_by([("w", "ascending"), ("pos", "ascending")])
+        return done[0] if len(done) == 1 else pa.concat_tables(done).sort_by([("w", "ascending"), ("pos", "ascending")])
+
+    def _contracted(self, pieces: list[bytes]) -> None:
+        """Puts the ids of short pieces into ``seen``, by queries of bounded size."""
+        new = sorted({p for p in pieces if p not in self.seen}, key=len)
+        at = 0
+        while at < len(new):
+            upto, size = at, 0
+            while upto < len(new) and size < QUERY_ROWS:
+                size += len(new[upto]) * min(len(new[upto]), ROUNDS)
+                upto += 1
+            rows = self.ids(some := new[at:upto])
+            ids = rows.column("id").to_pylist()
+            ends = np.cumsum(np.bincount(rows.column("w").to_numpy(), minlength=len(some))).tolist()
+            self.seen.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+            at = upto
+
+    def _window(self, piece: bytes, at: int) -> tuple[list[int], list[int]]:
+        """Ids, and ends in the piece, of the window that begins at ``at``."""
+        self._contracted([some := piece[at : at + SHORT_BYTES]])
+        ids = self.seen[some]
+        return ids, (at + np.cumsum([len(self.tokens[i]) for i in ids])).tolist()
+
+    def _fit(self, a: int, b: int) -> bool:
+        """Whether two tokens are the encoding of their joined bytes."""
+        both = self.tokens[a] + self.tokens[b]
+        if len(both) > SHORT_BYTES:
+            return self.ids([both], True).column("id").to_pylist() == [a, b]
+        self._contracted([both])
+        return self.seen[both] == [a, b]
+
+    def _joined(self, piece: bytes) -> list[int]:
+        """Ids of a long piece whose windows of the grid are in ``seen``."""
+        step, n = SHORT_BYTES - OVERLAP, len(piece)
+        out, at = [], 0  # ids up to the current window's first used token, whose index is at
+        ids, ends = self._window(piece, 0)
+        while ends[-1] < n:
+            grid = (ends[-1] - OVERLAP) // step * step
+            found = None
+            if grid + SHORT_BYTES > ends[-1]:
+                ids2, ends2 = self._window(piece, grid)
+                there = {(e - len(self.tokens[i]), e): k for k, (i, e) in enumerate(zip(ids2, ends2))}
+                for k in range(len(ids) - 1, at - 1, -1):
+                    if (same := there.get((ends[k] - len(self.tokens[ids[k]]), ends[k]))) is not None and same + 1 < len(ids2):
+                        found = k, same + 1, ids2, ends2
+                        break
+            if not found:
+                for k in range(len(ids) - 1, at - 1, -1):
+                    ids2, ends2 = self._window(piece, ends[k])
+                    if self._fit(ids[k], ids2[0]):
+                        found = k, 0, ids2, ends2
+                        break
+            if not found:
+                return self.ids([piece], True).column("id").to_pylist()
+            out += ids[at : found[0] + 1]
+            _, at, ids, ends = found
+        return out + ids[at:]
 
     def decode(self, rows: pa.Table) -> list[bytes]:
         """The bytes of each w of rows (w, pos, id), in order of w."""
@@ -118,21 +182,23 @@ class DuckBPE:
         return [bytes.fromhex(x) for (x,) in got]
 
     def learn(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        found, at = {}, 0
-        pieces = sorted(pieces, key=len)
-        while at < len(pieces):
-            upto, size = at, 0
-            while upto < len(pieces) and (upto == at or size + len(pieces[upto]) <= QUERY_BYTES):
-                size += len(pieces[upto])
-                upto += 1
-            some = pieces[at:upto]
-            rows = self.ids(some)
-            ids = rows.column("id").to_numpy().astype("<u4")
-            ends = np.cumsum(np.bincount(rows.column("w").to_numpy(), minlength=len(some)))
-            starts = np.concatenate([[0], ends[:-1]])
-            for piece, a, b, text in zip(some, starts.tolist(), ends.tolist(), self.decode(rows)):
-                found[piece] = (ids[a:b].tobytes(), text)
-            at = upto
+        step = SHORT_BYTES - OVERLAP
+        rest = [p for p in pieces if p not in self.ranks]
+        long_ = [p for p in rest if len(p) > SHORT_BYTES]
+        self._contracted([p for p in rest if len(p) <= SHORT_BYTES])
+        self._contracted([p[i : i + SHORT_BYTES] for p in long_ for i in range(0, len(p), step)])
+        known = {p: self._joined(p) for p in long_}
+        found = {}
+        for first in range(0, len(pieces), DECODED):
+            some = pieces[first : first + DECODED]
+            lists = [[self.ranks[p]] if p in self.ranks else known[p] if p in known else self.seen[p] for p in some]
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, n.sum())
+            ends = np.cumsum(n) * 4
+            rows = pa.table({"w": np.repeat(np.arange(len(some)), n), "pos": np.arange(len(ids)), "id": ids})
+            coded = ids.astype("<u4").tobytes()
+            found.update(zip(some, zip(map(coded.__getitem__, map(slice, (ends - 4 * n).tolist(), ends.tolist())), self.decode(rows))))
+        self.seen.clear()
         return found
 
     def __call__(self, texts: list[bytes], pattern) -> list[tuple[bytes, bytes]]:
@@ -160,7 +226,7 @@ _open: dict[str, DuckBPE] = {}
 
 
 def coder(path: str) -> DuckBPE:
-    """One for each Python worker, which runs one task at a time."""
+    """The merge table of a file, loaded once by each Python worker. What a task has encoded is forgotten with it."""
     if path not in _open:
         _open[path] = DuckBPE(path)
     return _open[path]
@@ -174,14 +240,17 @@ def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str
         import regex
 
         bpe, cut = coder(ranks), regex.compile(pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                got = bpe([x or b"" for x in part.column(part.num_columns - 1).cast(pa.large_binary()).to_pylist()], cut)
-                columns = [*part.columns[:-1], pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    got = bpe([x or b"" for x in part.column(part.num_columns - 1).cast(pa.large_binary()).to_pylist()], cut)
+                    columns = [*part.columns[:-1], pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
+        finally:
+            bpe.known.clear()
+
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(released(run), schema)
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import scratch_path, shared_dir, stored
 
-__all__ = ["WORD", "crc_mod", "parts", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
+__all__ = ["WORD", "crc_mod", "parts", "release", "released", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
 
 #: The word of the contracts; bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,3 +39,25 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
 def crc_mod(column: str, by: int):
     """crc32 of the column as text, modulo by."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(by)
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: Arrow's pool and the C library keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def released(run):
+    """A function for mapInArrow that gives back its memory at its end. Workers outlive their tasks and wait, idle, for the next stage."""
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return lean
