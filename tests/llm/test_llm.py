@@ -328,6 +328,12 @@ def test_similar_documents(spark):
     assert len(kept) == len(set(got.values())) + 2
 
 
+def test_repeated_identifiers_keep_their_texts(spark):
+    rows = [(1, "one text of five words here", 1), (1, "another text that is not alike", 2), (1, "one text of five words here", 3), (2, "a third one of its own", 4), (3, "one text of five words here", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _lost int").withColumn("r", F.lit(1))
+    assert sorted((r["doc_id"], r["_lost"]) for r in similar.one_of_each(docs, "doc_id", "text").collect()) == [(1, 1), (1, 2), (2, 4)]
+
+
 def test_similar_documents_at_the_threshold(spark):
     def text(i, own, size):
         return " ".join([*(f"a{i}_{k}" for k in range(size)), *(f"{own}{i}_{k}" for k in range(34))])
@@ -375,6 +381,12 @@ def test_line_dedup(spark, tmp_path):
     assert linededup.keep_bitmaps(odd(spark, [])).count() == 0
 
 
+def test_null_and_greatest_identifier_are_two_documents(spark):
+    top = (1 << 63) - 1
+    docs = spark.createDataFrame([(None, "a line that two documents hold"), (top, "a line that two documents hold"), (top - 1, "own line of this one")], "doc_id long, text string")
+    assert {r["doc_id"]: r["_dropped"] for r in linededup.keep_bitmaps(docs).collect()} == {None: 1, top: 0, top - 1: 0}
+
+
 def test_runs_cut_by_parts(spark):
     """One line in all documents, over more parts than a run would fill."""
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("the very same line\nand another one!").alias("text"))
@@ -427,6 +439,16 @@ def test_mixing(spark, tmp_path):
     assert mixing.op7_mixing_target_weights(spark, saved(spark, tmp_path / "e", documents=odd(spark, []))).count() == 0
 
 
+def test_null_identifiers_are_rows_of_their_own(spark, tmp_path, monkeypatch):
+    rows = [(None, f"t{i} " * (i % 5 + 1), "x", "s", 0) for i in range(300)] + [(i, "w " * 10, "x", f"t{i % 3}", 0) for i in range(30)]
+    sf = saved(spark, tmp_path, documents=odd(spark, rows))
+    got = mixing.op7_mixing_target_weights(spark, sf).collect()
+    some = [r for r in got if r["doc_id"] is None]
+    assert len(some) == 300 and abs(sum(r["taken"] for r in some) - some[0]["target"]) <= 5
+    monkeypatch.setattr(mixing, "SENT", 0)
+    assert sorted(map(str, mixing.op7_mixing_target_weights(spark, sf).collect())) == sorted(map(str, got))
+
+
 def test_no_python_on_the_mixing_path(spark, tmp_path):
     sf = saved(spark, tmp_path, documents=odd(spark))
     plan = mixing.op7_mixing_target_weights(spark, sf)._jdf.queryExecution().executedPlan().toString()
@@ -588,12 +610,16 @@ def test_query_against_sql(spark, name):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
 
 
+#: Names that operators use inside.
+FURTHER = ("_lost", "_time", "_times", "_size", "_dropped", "_lines", "_keep", "_score", "_predicted", "_source", "_digest", "r", "k", "row", "component_id")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
     rows = toxic_rows(600, 8)
     docs = [r[:5] for r in rows] + [(5000, rows[1][1], "en", "s", 0), (5001, rows[1][1].replace("w1 ", "w2 ", 1), "en", "t", 0), (5002, "a shared boiler plate line\nown text of this one here", "en", "t", 0), (5003, "a shared boiler plate line\nother words are in this one", "en", None, 0)]
-    plain = spark.createDataFrame(docs, DOC)
+    plain = spark.createDataFrame(docs, DOC).withColumns({c: F.col("doc_id") * 10 + i for i, c in enumerate(FURTHER)})
     sf = saved(spark, tmp_path, documents=plain, labels=spark.createDataFrame([(r[0], 1, int(r[5])) for r in rows], "doc_id long, quality int, toxic int"))
     step = plain
     kept = []
@@ -605,6 +631,7 @@ def test_pipeline(spark, tmp_path):
         kept.append(step.count())
         if name != C.STAGES[-1][0]:
             assert step.columns == before.columns
+            assert all(r[c] == r["doc_id"] * 10 + i for r in step.collect() for i, c in enumerate(FURTHER))
     ids = lambda k: {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/{C.STAGES[k][0]}.parquet").collect()}
     assert ids(0) == {d[0] for d in docs} - {r[0] for r in rows if r[5]}
     lines = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/{C.STAGES[1][0]}.parquet").collect()}

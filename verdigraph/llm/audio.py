@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_bytes
+from .common import released, stored, table, text_bytes
 
 UNIT, PAD = 192, b" "
 RATE = 8000

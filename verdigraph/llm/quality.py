@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table, text_bytes
+from .common import released, stored, table, text_bytes
 
 #: The bound of the scorer's sample.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 4 << 20
@@ -116,7 +116,7 @@ def voted(docs: DataFrame, text: str) -> DataFrame:
             told = ["".join(map(str, votes(measured(t)))) for t in text_bytes(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.string())], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -194,7 +194,7 @@ def scored(docs: DataFrame, text: str, model: LabelModel, scorer: Scorer) -> Dat
                 v = np.array([votes(measured(t)) for t in texts])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.posterior(v)), pa.array(scorer(texts))], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, stored, table, text_bytes
+from .common import parts, released, stored, table, text_bytes
 from .components import components, forest
 
 BITS = 2
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, words: int = SHINGLE, see
             fps = np.array([fingerprint(hashes(t, words, seed)) for t in text_bytes(batch, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(mark, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(mark), "doc_id long, fp long")
 
 
 def postings(entries: DataFrame, bits: int) -> DataFrame:
@@ -83,7 +83,7 @@ def links(entries: DataFrame, bits: int = BITS) -> DataFrame:
     dealt = dealt.select("posting", "value", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp", "node")
     keys = ["posting", "value", "i", "j"]
     n = parts(entries.sparkSession)
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _verified(batches, bits), "a long, b long")
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(released(lambda batches: _verified(batches, bits)), "a long, b long")
 
 
 def _verified(batches, bits):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, scratch_path, stored, table
+from .common import parts, released, scratch_path, stored, table
 
 MAGIC = b"VGSST001"
 BLOCK_BYTES = 1 << 16
@@ -284,7 +284,7 @@ def write_shards(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: i
     def manifest(part, seq, path, writer, size):
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (path, pa.string()), (len(writer.keys), pa.int64()), (writer.ids, pa.int64()), (size, pa.int64()))], ["part", "seq", "path", "entries", "n_ids", "bytes"])
 
-    return stored(ordered.mapInArrow(write, MANIFEST), "manifest")
+    return stored(ordered.mapInArrow(released(write), MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                             start += n_ids
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return starts.select("path", "start").repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.select("path", "start").repartition(n, "path").mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_sstable_token_shards(spark, sf_dir: str) -> DataFrame:

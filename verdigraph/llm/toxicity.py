@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table, text_bytes
+from .common import crc_mod, released, table, text_bytes
 
 #: The bound of the sample: documents, and bytes of their texts. Whole texts are taken. Toxic words and the curve are learned from all
 #: of it; the field's weights from its toxic documents and as many others, up to FIELD_BYTES.
@@ -274,7 +274,7 @@ def tagged(docs: DataFrame, text: str, field: Field) -> DataFrame:
                 found = [[list(x) for x in spans(t, q)] if len(q) and q.max() > SPAN else [] for t, q in zip(texts, p)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(found, pa.list_(pa.list_(pa.int32())))], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Field:
