@@ -90,6 +90,78 @@ def test_brown(spark, tmp_path, monkeypatch):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.1 * sum(r["n_tokens"] for r in held)
 
 
+def brute_scores(rows):
+    """The model over whole texts in plain Python: rows of (doc_id, text)."""
+    texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    train = [w for i, w in texts if i is not None and zlib.crc32(str(i).encode()) % 10]
+    total = Counter(x for w in train for x in w)
+    c = brown.class_count(len(total))
+    end = c + 1
+    core = sorted(total, key=lambda x: (-total[x], xxhash.xxh3_128_digest(x)))[: brown.core_size(len(total))]
+    number = {x: i for i, x in enumerate(core)}
+
+    def pairs(state, size):
+        n = np.zeros((size, size))
+        for w in train:
+            s = [size - 1, *(state.get(x) for x in w), size - 1]
+            for x, y in zip(s, s[1:]):
+                if x is not None and y is not None:
+                    n[x, y] += 1
+        return n
+
+    of = brown.exchange(bigrams := pairs(number, len(core) + 1), c)
+    known = {x: int(of[i]) for x, i in number.items()}
+    seen = brown.core_pairs(bigrams, of, c)
+    for last in (False, True):
+        fit = brown.affinity(seen, c)
+        score = {x: np.zeros(c) for x in total if x not in number}
+        has = set()
+        for w in train:
+            s = [end, *(known.get(x) for x in w), end]
+            for k, x in enumerate(w):
+                for state, row in ((s[k], 0), (s[k + 2], c + 2)):
+                    if x in score and state is not None:
+                        score[x] += fit[row + state]
+                        has.add(x)
+        known = {x: int(of[number[x]]) if x in number else int(np.argmax(score[x])) if x in has else c for x in total if x in number or x in has or last}
+        seen = pairs(known, c + 2)
+    sums = np.zeros((2, c + 2))
+    for x, n in total.items():
+        sums[:, known[x]] += n, 1
+    m = brown.Model(c, len(train), sums)
+    m.fit(seen)
+    out = []
+    for _, w in texts:
+        at, score = end, 0.0
+        for x in [*w, None]:
+            n = len(train) if x is None else total[x]
+            to = end if x is None else known.get(x)
+            if n:
+                score += m.step[at, to] + log10((n + brown.ADD) / m.below[to])
+                at = to
+            else:
+                score += m.lost[at]
+        out.append(score)
+    return out
+
+
+def test_brown_against_a_plain_scorer(spark, tmp_path, monkeypatch):
+    """And equal scores, to the last bit, however rows are dealt to files."""
+    random.seed(20)
+    some = [f"w{min(int(random.expovariate(0.004)), 3000)}" for _ in range(3000)]
+    rows = [(i, " ".join(some[(i * 37 + k * (1 + i % 3)) % 3000] for k in range(i % 70)), "x", "s", 0) for i in range(400)] + ODD
+    monkeypatch.setattr(brown, "CORE", 100)
+    want = sorted(zip((str(r[0]) for r in rows), (round(x, 6) for x in brute_scores([(r[0], r[1]) for r in rows]))))
+    seen = []
+    for size, files in ((9000, 1), (1 << 20, 7)):
+        monkeypatch.setattr(brown, "CHUNK_BYTES", size)
+        df = odd(spark, rows).repartition(files)
+        got = brown.op1_brown_class_lm(spark, saved(spark, tmp_path / str(files), documents=df)).collect()
+        assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got) == want
+        seen.append(sorted(map(str, got)))
+    assert seen[0] == seen[1]
+
+
 def test_exchange_finds_classes():
     random.seed(7)
     n = np.zeros((41, 41))
@@ -102,9 +174,11 @@ def test_exchange_finds_classes():
 
 
 def test_emissions_and_steps_are_probabilities():
-    m = brown.Model(3, [(0, 10, 4), (1, 5, 2)])
-    pairs = np.zeros((brown.STATES, brown.STATES))
-    pairs[0, 1], pairs[brown.END, 0] = 4, 3
+    sums = np.zeros((2, 10))
+    sums[:, 0], sums[:, 1] = (10, 4), (5, 2)
+    m = brown.Model(8, 3, sums)
+    pairs = np.zeros((10, 10))
+    pairs[0, 1], pairs[m.end, 0] = 4, 3
     m.fit(pairs)
     assert np.allclose((10**m.step).sum(axis=1), 1)
     assert np.isclose((10 + 4 * brown.ADD + brown.ADD) / m.below[0], 1)

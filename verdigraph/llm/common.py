@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..store import scratch_path, shared_dir, stored
 
-__all__ = ["WORD", "crc_mod", "parts", "release", "released", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
+__all__ = ["WORD", "crc_mod", "opened", "parts", "release", "released", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
 
 #: The word of the contracts; bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,3 +62,14 @@ def released(run):
             release()
 
     return lean
+
+
+def opened(path: str, write: bool = False):
+    """A file of the shared folder, to read at random or to write."""
+    from pyarrow import fs
+
+    where, inside = fs.FileSystem.from_uri(path)
+    if write:
+        where.create_dir(os.path.dirname(inside))
+        return where.open_output_stream(inside)
+    return where.open_input_file(inside)

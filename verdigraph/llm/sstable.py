@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, released, scratch_path, stored, table
+from .common import opened, parts, released, scratch_path, stored, table
 
 MAGIC = b"VGSST001"
 BLOCK_BYTES = 1 << 16
@@ -236,16 +236,6 @@ def encoder(path: str, width: int) -> WordEncoder:
     return _open[path, width]
 
 
-def opened(path: str, write: bool = False):
-    from pyarrow import fs
-
-    where, inside = fs.FileSystem.from_uri(path)
-    if write:
-        where.create_dir(os.path.dirname(inside))
-        return where.open_output_stream(inside)
-    return where.open_input_file(inside)
-
-
 MANIFEST = "part int, seq int, path string, entries long, n_ids long, bytes long"
 
 
