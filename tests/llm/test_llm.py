@@ -629,12 +629,12 @@ def test_shards(spark, tmp_path):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     random.seed(17)
     rows = ODD + [(1000 + i, "".join(random.choice("aáßİıKΣςσ.,'s!0 \n\t\x0b\x85　한") for _ in range(40)), "x", "s", 0) for i in range(400)]
+    rows += [(2000, "Hello <|endoftext|> World", "x", "s", 0), (2001, "<|STARTOFTEXT|>a<|startoftext|>b <|endoftext|", "x", "s", 0), (2002, "<|endoftext|>" * 3, "x", "s", 0), (2003, "zz", "x", "s", 0), (2003, "b" * 9, "x", "s", 0)]
     got = sorted(((r["start"], r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in sstable.op10_sstable_token_shards(spark, saved(spark, tmp_path, documents=odd(spark, rows))).collect()))
     want, start = [], 0
-    for i, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or ""), r[1] or "")):
         ids = t.encode(text or "", add_special_tokens=False).ids + [1]
         want.append((start, i is None, i or 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -642,6 +642,21 @@ def test_shards(spark, tmp_path):
     assert sstable.op10_sstable_token_shards(spark, saved(spark, tmp_path / "e", documents=odd(spark, []))).count() == 0
 
 
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    told = json.load(open(path, encoding="utf-8"))
+    assert sstable.lowers_and_drops_blanks(told)
+    told["normalizer"]["normalizers"].pop()
+    assert not sstable.lowers_and_drops_blanks(told)
+    json.dump(told, open(other := str(tmp_path / "t.json"), "w"))
+    texts = ["Hello World, IT'S here", "", "a <|endoftext|> B"]
+    assert sstable.WordEncoder(other, 2)(texts) == [np.array(Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
 def test_shard_lookup(tmp_path, monkeypatch):
     monkeypatch.setattr(sstable, "BLOCK_BYTES", 200)
     path = str(tmp_path / "x.sst")

@@ -12,11 +12,12 @@ Layout (integers little-endian, varint = LEB128):
 
 Keys: an identifier is 8 bytes, big-endian, with its sign bit turned, so bytes sort as numbers; a null one is the empty key and comes
 first. Defined results: a null text is an empty one, and gives the end id alone; repeated identifiers are entries of their own, ordered
-by text; an empty table gives no shard and no row; further columns are not read.
+by length and text; an empty table gives no shard and no row; further columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -180,25 +181,46 @@ class ShardReader:
         return found
 
 
+def lowers_and_drops_blanks(told: dict) -> bool:
+    """Whether a tokenizers file's rules reach over no blank and lower-case first, so that words between blanks can be encoded alone: the
+    normaliser composes, replaces white space and lower-cases, the splitter keeps what its pattern finds and no white space, added tokens
+    are found in the raw text, and nothing comes after the model."""
+    normal, split = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])]
+    cuts = split.get("pretokenizers", [])
+    return (
+        steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["behavior"], cuts[0]["invert"], cuts[0]["pattern"]) == ("Removed", True, {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
+        and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+        and not any(told.get(k) for k in ("truncation", "padding", "post_processor"))
+        and told["model"]["type"] == "BPE" and not any(told["model"].get(k) for k in ("dropout", "ignore_merges", "byte_fallback"))
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in told.get("added_tokens", []))
+    )
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizers file, as bytes. Pieces between blanks are encoded once and kept.
+    """Ids of texts by a tokenizers file, as bytes: what the library gives with add_special_tokens=False.
 
-    Sound only for files that drop white space and lower-case: no piece, rule or normal form reaches over a blank, and A-Z may be
-    lowered before. A piece that is one run of lower-case Latin letters, with at most one full stop or comma behind it, is what
-    normaliser and splitter would leave of it, so its runs go to the file's BPE model at once."""
+    Where :func:`lowers_and_drops_blanks` holds of the file, pieces between blanks are encoded once and kept. A piece that is one run of
+    lower-case Latin letters, with at most one full stop or comma behind it, is what normaliser and splitter would leave of it, so its runs
+    go to the file's BPE model at once. A text that holds an added token, and any text of another kind of file, goes to the library whole."""
 
     def __init__(self, path: str, width: int, keep: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.by_word, self.added = lowers_and_drops_blanks(told), [t["content"] for t in told.get("added_tokens", [])]
         self.model = self.tokenizer.model
         self.kind, self.keep, self.known = "H" if width == 2 else "I", keep, {}
-        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        latin = [c for c in map(chr, range(0x61, 0x250)) if unicodedata.category(c) in ("Ll", "Lo") and self.tokenizer.normalizer.normalize_str(c) == c]
-        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in latin}
-        self.plain = re.compile(f"([{''.join(latin)}]+)([.,]?)")
+        if self.by_word:
+            as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            latin = [c for c in map(chr, range(0x61, 0x250)) if unicodedata.category(c) in ("Ll", "Lo") and self.tokenizer.normalizer.normalize_str(c) == c]
+            self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in latin}
+            self.plain = re.compile(f"([{''.join(latin)}]+)([.,]?)")
 
     def _coded(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
@@ -219,11 +241,16 @@ class WordEncoder:
                 self.known[piece] = self._coded(got.ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        whole = [i for i, t in enumerate(texts) if not self.by_word or any(x in t for x in self.added)]
+        apart = set(whole)
+        split = [[] if i in apart else t.encode("utf-8", "surrogatepass").lower().split() for i, t in enumerate(texts)]
         if len(self.known) > self.keep:
             self.known.clear()
         self._learn([x for x in set().union(*split) if x not in self.known])
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        for i in whole:
+            out[i] = self._coded(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
+        return out
 
 
 _open: dict[tuple[str, int], WordEncoder] = {}
@@ -241,9 +268,15 @@ MANIFEST = "part int, seq int, path string, entries long, n_ids long, bytes long
 
 def write_shards(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, folder: str, width: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes docs and writes them as shards in ascending key order; the manifest, a row for each shard."""
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange(parts(docs.sparkSession), "k", F.length("t")).sortWithinPartitions("k", "t")
+    ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange(parts(docs.sparkSession), "k", F.length("t")).sortWithinPartitions("k", F.length("t"), "t")
 
     def write(batches):
+        try:
+            yield from written(batches)
+        finally:
+            encoder(tokenizer, width).known.clear()
+
+    def written(batches):
         encode, end = encoder(tokenizer, width), end_id.to_bytes(width, "little")
         part, seq, writer = TaskContext.get().partitionId(), 0, None
         for batch in batches:
