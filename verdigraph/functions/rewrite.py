@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|\'(?:[^\'\\]|\\.)*\'?|//[^\n]*|/\*.*?(?:\*/|\Z)|#[^\n]*|;|.', re.S)
+_ROW_END = re.compile(r"[;{}][^\S\n]*\n")
 _LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"(?:\s*"(?:[^"\\]|\\.)*")+|\'(?:[^\'\\]|\\.)*\'', re.S)
 
 
@@ -24,83 +25,88 @@ def column(rewrite: Callable[[str], str], kind: str = "string") -> Callable[[Col
     return run
 
 
+def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
+    """The text with each stretch [start, end) replaced. Stretches don't overlap; insertions at one place keep their order."""
+    out, at = [], 0
+    for start, end, new in sorted(edits, key=lambda e: e[:2]):
+        out += [text[at:start], new]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def matched(text: str, kinds: str = "(){}") -> tuple[dict[int, int], bool]:
+    """Places of opening brackets with those of the brackets that close them, and whether every bracket has its partner, in order."""
+    closes, open_, found, whole = dict(zip(kinds[::2], kinds[1::2])), [], {}, True
+    for m in re.finditer(f"[{re.escape(kinds)}]", text):
+        if m[0] in closes:
+            open_.append(m.start())
+        elif open_ and closes[text[open_[-1]]] == m[0]:
+            found[open_.pop()] = m.start()
+        else:
+            whole = False
+    return found, whole and not open_
+
+
 def is_nested(text: str) -> bool:
     """Round and curly brackets are balanced."""
-    open_ = []
-    for c in text:
-        if c in "({":
-            open_.append(")" if c == "(" else "}")
-        elif c in ")}" and (not open_ or open_.pop() != c):
-            return False
-    return not open_
+    return matched(text)[1]
 
 
 def statements_from(text: str, start: str) -> list[str]:
-    """Each text from an occurrence of ``start`` to the end of the parentheses after it."""
-    out, at = [], text.find(start)
-    while start and at >= 0:
-        depth, i = 1, text.find("(", at) + 1
-        while depth and i < len(text):
-            depth += (text[i] == "(") - (text[i] == ")")
-            i += 1
-        out.append(text[at:i])
-        at = text.find(start, at + 1)
-    return out
+    """Each text from an occurrence of ``start`` to the end of the parentheses after it, or of the text where these stay open."""
+    if not start:
+        return []
+    closing = matched(text, "()")[0]
+    opened = ((m.start(), text.find("(", m.start())) for m in re.finditer(f"(?={re.escape(start)})", text))
+    return [text[at : closing.get(bracket, len(text)) + 1] for at, bracket in opened if bracket >= 0]
 
 
 def statements_like(text: str, pattern: str) -> list[str]:
     """Matches of a pattern whose brackets are balanced."""
-    return [m for m in re.findall(pattern, text, re.M | re.S) if is_nested(m)]
+    return [m[0] for m in re.finditer(pattern, text, re.M | re.S) if is_nested(m[0])]
+
+
+def _line_place(text: str, at: int, without: list[tuple[int, int, str]] = ()) -> int | None:
+    """The end of the last row before that of ``at`` which ends a statement or a block, and doesn't end in the stretches ``without``."""
+    row = text.rfind("\n", 0, at) + 1
+    ends = [m.end() for m in _ROW_END.finditer(text, 0, row) if not any(a < m.end() <= b for a, b, _ in without)]
+    return ends[-1] if ends else None
 
 
 def insert_before(text: str, match: str, line: str) -> str:
-    """A line after the last statement or block that ends before ``match``; none ends: no change."""
+    """A line after the last statement or block that ends in a row before that of ``match``; none ends: no change."""
     at = text.find(match)
-    if at < 0:
-        return text
-    rows = text.splitlines(True)
-    end, row = 0, 0
-    for row, r in enumerate(rows):
-        end += len(r)
-        if end > at:
-            break
-    before = next((j for j in range(row - 1, -1, -1) if rows[j].strip().endswith((";", "{", "}"))), None)
-    if before is not None:
-        rows.insert(before + 1, line.strip() + "\n")
-    return "".join(rows)
+    place = None if at < 0 else _line_place(text, at)
+    return text if place is None else edited(text, [(place, place, line.strip() + "\n")])
 
 
 def replaced_statements(text: str, found: list[str], first: int = 0, inplace: bool = True, prefix: str = "statement") -> tuple[str, list[str], int]:
     """Each statement found becomes a name that a #define stands for: a definition before its statement (inplace; the rows it took
-    stay, as newlines), or one in the list that comes back. Also the next free number."""
-    defines, pending, n = [], [], first
-    for n, match in enumerate(found, first + 1):
-        name = f"{prefix}_{n - 1}_replacement"
-        line = f"#define {name} " + match.replace("\n", "\\\n")
-        if inplace:
-            text = text.replace(match, name + "\n" * (len(match.splitlines()) - 1), 1)
-            pending.append((name, line))
-        else:
-            text = text.replace(match, name, 1)
-            defines.append(line)
-    for name, line in pending:
-        text = insert_before(text, name, line)
-    return text, defines, n if found else first
+    stay, as newlines), or one in the list that comes back. Also the next free number. A statement takes its first place that no other
+    has; one without a place (inside another, say) is left alone."""
+    names = [f"{prefix}_{first + i}_replacement" for i in range(len(found))]
+    defines = [f"#define {name} " + s.replace("\n", "\\\n") for name, s in zip(names, found)]
+    edits: list[tuple[int, int, str]] = []
+    lines = []
+    for name, define, s in zip(names, defines, found):
+        places = (m.start() for m in re.finditer(f"(?={re.escape(s)})", text))
+        at = next((p for p in places if all(p + len(s) <= a or b <= p for a, b, _ in edits)), None)
+        if at is not None:
+            edits.append((at, at + len(s), name + "\n" * (inplace * s.rstrip("\n").count("\n"))))
+            lines.append((at, define))
+    if not inplace:
+        return edited(text, edits), defines, first + len(found)
+    placed = [(place, place, define.strip() + "\n") for at, define in reversed(lines) if (place := _line_place(text, at, edits)) is not None]
+    return edited(text, placed + edits), [], first + len(found)
 
 
 def without_call(text: str, name: str) -> str:
     """Drops ``name`` and the parentheses after it."""
-    out, at = [], 0
+    closing, edits = matched(text, "()")[0], []
     for m in re.finditer(rf"{re.escape(name)}\s*\(", text):
-        if m.start() < at:
-            continue
-        depth, i = 1, m.end()
-        while depth and i < len(text):
-            depth += (text[i] == "(") - (text[i] == ")")
-            i += 1
-        out.append(text[at : m.start()])
-        at = i
-    return "".join(out) + text[at:]
+        if not edits or m.start() >= edits[-1][1]:
+            edits.append((m.start(), closing.get(m.end() - 1, len(text)) + 1, ""))
+    return edited(text, edits)
 
 
 def joined_literals(text: str) -> str:
@@ -139,17 +145,13 @@ def without_asm(text: str) -> str:
 
 
 def blanked_ranges(text: str, ranges: list[tuple[tuple[int, int], tuple[int, int]]], drop_empty: bool = True) -> str:
-    """Blanks in ranges ((row, column), (row, column)). One of several rows also blanks the newlines of all but its last, so they merge."""
-    rows = text.splitlines(True)
+    """Blanks in place of all that lies in ranges ((row, column), (row, column)), newlines too, so rows merge. Rows of blanks alone go."""
+    starts = [0, *(m.end() for m in re.finditer("\n", text)), len(text)]
+    out = text
     for (r0, c0), (r1, c1) in ranges:
-        if r0 == r1:
-            rows[r0] = rows[r0][:c0] + " " * (c1 - c0) + rows[r0][c1:]
-            continue
-        rows[r0] = rows[r0][:c0] + " " * (len(rows[r0]) - c0)
-        for r in range(r0 + 1, r1):
-            rows[r] = " " * len(rows[r])
-        rows[r1] = " " * c1 + rows[r1][c1:]
-    return "".join(r for r in rows if r.strip() or not drop_empty)
+        a, b = min(starts[r0] + c0, len(text)), min(starts[r1] + c1, len(text))
+        out = out[:a] + " " * (b - a) + out[b:]
+    return "".join(row for a, b in zip(starts, starts[1:]) if (row := out[a:b]).strip() or not drop_empty)
 
 
 def marked(text: str, row: int) -> str:

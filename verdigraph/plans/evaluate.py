@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import extract_label, is_rate_limit
 from ..operators import ladder as L
+from ..operators.throttle import Admissions
 from ..schemas import USAGE
 from ..store import stored
 
@@ -65,27 +66,15 @@ def asked(evaluator: Evaluator, retries: int, backoff: float, wait: Callable[[fl
 
 
 class Budget:
-    """Tokens that a partition may ask for in 60 seconds: its part of the whole budget, so the sum over partitions keeps to it. A
-    request above the budget goes at once and isn't counted."""
+    """Tokens that a partition may ask for in a minute: its part of the whole budget, so the sum over partitions keeps to it."""
 
     def __init__(self, per_minute: int, clock=time.time, wait=time.sleep) -> None:
-        self.per_minute, self.clock, self.wait, self.events = per_minute, clock, wait, []
+        self.clock, self.wait, self.admissions = clock, wait, Admissions(per_minute)
 
     def __call__(self, tokens: int) -> None:
-        if not self.per_minute or not 0 < tokens <= self.per_minute:
-            return
-        while True:
-            now = self.clock()
-            self.events = [(t, n) for t, n in self.events if now - t < 60]
-            if sum(n for _, n in self.events) + tokens <= self.per_minute:
-                self.events.append((now, tokens))
-                return
-            excess = sum(n for _, n in self.events) + tokens - self.per_minute
-            for t, n in self.events:
-                excess -= n
-                if excess <= 0:
-                    self.wait(max(0.1, t + 60.05 - self.clock()))
-                    break
+        while (at := self.admissions.earliest(now := self.clock(), tokens)) > now:
+            self.wait(at - now)
+        self.admissions.add(now, tokens)
 
 
 ANSWER = T.StructType([T.StructField("response", T.StringType()), T.StructField("reasoning", T.StringType()), T.StructField("usage", USAGE), T.StructField("error", T.StringType())])

@@ -18,6 +18,7 @@ _DEFINE = re.compile(r"[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)")
 _IDENT = re.compile(r"[A-Za-z_]\w*")
 _CALL = re.compile(r"((?:[A-Za-z_]\w*\s*(?:->|\.)\s*)*[A-Za-z_]\w*)\s*\(")
 _HEADER = re.compile(r"([A-Za-z_~][\w:~]*)\s*\(((?:[^()]|\([^()]*\))*)\)\s*(?:const|noexcept|override|final|\s)*(?::[^{;]*)?$", re.S)
+_NAMES = re.compile(r"\b([A-Za-z_]\w*)\s*\(([\w\s,]*)\)\s*(?=[A-Za-z_])")
 _ARRAY = re.compile(r"\[[^\]]*\]")
 #: The language's words.
 KEYWORDS = frozenset(
@@ -26,7 +27,6 @@ KEYWORDS = frozenset(
 )
 PRIMITIVE = frozenset("void char short int long float double signed unsigned bool _Bool".split())
 QUALIFIERS = frozenset("static extern inline const volatile register restrict auto virtual explicit friend constexpr __inline __inline__".split())
-SKIPPED = frozenset("if while for switch return sizeof".split())
 
 
 class Rows:
@@ -160,7 +160,12 @@ def declarations(file_key: str, text: str) -> list[dict]:
         header_end = at
         end = text.find("\n", at)
         add("macro", name, "", False, [], at, len(text) if end < 0 else end, False)
-    for start, header_end, end in pieces(code):
+    cut = pieces(code)
+    old = old_style(code, cut) if file_key.endswith(".c") else []
+    inside = {i for first, last, *_ in old for i in range(first, last + 1)}
+    for i, (start, header_end, end) in enumerate(cut):
+        if i in inside:
+            continue
         head = code[start:header_end]
         start += len(head) - len(head.lstrip())
         head = head.strip()
@@ -188,8 +193,14 @@ def declarations(file_key: str, text: str) -> list[dict]:
                 names = [w for w in _IDENT.findall(d.split("=")[0]) if w not in KEYWORDS]
                 if names and (i or len(_IDENT.findall(first)) > 1):
                     add(kind, names[-1], "", static, [], start, end, False)
-    if file_key.endswith(".c"):
-        out += old_style(file_key, text, code, rows, {d["sig"]["name"] for d in out if d["sig"]["ftype"] == "func"})
+    known = {d["sig"]["name"] for d in out if d["sig"]["ftype"] == "func"}
+    for _, last, name, above, brace in old:
+        if name not in known:
+            known.add(name)
+            (r0, _), (r1, c1) = rows(above), rows(cut[last][2] - 1)
+            kind = source[r0].strip() if code[above : rows.starts[r0 + 1]].strip() else ""
+            sig = {"ftype": "func", "name": name, "return_type": kind, "is_static": False, "param_types": []}
+            out.append({"file_key": file_key, "sig": sig, "start_row": r0, "start_col": 0, "end_row": r1, "end_col": c1, "is_function": True, "parameter": [], "body": "\n".join(source[r0 : r1 + 1]), **occurrences(code, brace, cut[last][2], rows)})
     last = {(g["ftype"], g["name"], g["return_type"], g["is_static"], *g["param_types"]): d for d in out for g in [d["sig"]]}
     return list(last.values())
 
@@ -198,33 +209,33 @@ def _called_in(code: str, start: int, end: int, call: dict, rows: Rows) -> bool:
     return any(m[1] == call["name"] and rows(start + m.start())[0] == call["row"] for m in _CALL.finditer(code[start:end]))
 
 
-def old_style(file_key: str, text: str, code: str, rows: Rows, known: set[str]) -> list[dict]:
-    """Definitions whose header row is a name and a list of names, with a type row above and parameter rows down to the brace."""
-    source, plain, out, row = text.split("\n"), code.split("\n"), [], 0
-    while row < len(source):
-        m = re.match(r"^([A-Za-z_]\w*)\s*\(([^)]*)\)\s*$", source[row].strip())
-        here, row = row, row + 1
-        if not m or m[1] in SKIPPED or m[1] in known:
-            continue
-        brace = next((i for i in range(here + 1, len(source)) if not source[i].strip() or source[i].strip().startswith("{")), None)
-        if brace is None or not source[brace].strip().startswith("{"):
-            continue
-        above = next((i for i in range(here - 1, -1, -1) if (s := source[i].strip()) and not s.startswith(("/*", "*", "//"))), None)
-        if above is None or source[above].strip().endswith((";", "{", "}")) or source[above].strip().startswith("#"):
+def declared(text: str) -> set[str]:
+    """Names that a declaration declares."""
+    found = [[w for w in _IDENT.findall(d) if w not in KEYWORDS] for d in split_params(_ARRAY.sub("", text))]
+    return {w[-1] for w in found if w}
+
+
+def old_style(code: str, cut: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, int]]:
+    """Definitions with parameter declarations between header and brace: first and last of the pieces ``cut``, the name, and where the
+    type's row and the block begin. Before a block without a header lie declarations; the first of these follows a name and a list of names
+    in the same piece, all that they declare is in the list, and the name begins a row under that of its type."""
+    out = []
+    for i, (start, brace, _) in enumerate(cut):
+        if code[brace : brace + 1] != "{" or code[start:brace].strip():
             continue
-        depth, end = 0, None
-        for i in range(brace, len(plain)):
-            depth += plain[i].count("{") - plain[i].count("}")
-            if not depth and i > brace:
-                end = i
+        names: set[str] = set()
+        for k in range(i - 1, -1, -1):
+            first, stop, end = cut[k]
+            if code[stop : stop + 1] != ";" or code[end : cut[k + 1][0]].strip():
+                break
+            head = code[first:stop]
+            m = next((m for m in _NAMES.finditer(head) if m[1] not in KEYWORDS), None)
+            names |= declared(head[m.end() :] if m else head)
+            if m:
+                above = head[: m.start()].rstrip()
+                if above and "\n" in head[len(above) : m.start()] and names <= set(split_params(m[2])):
+                    out.append((k, i, m[1], first + above.rfind("\n") + 1, brace))
                 break
-        if end is None:
-            continue
-        first, last = rows.starts[brace], rows.starts[end] + len(source[end])
-        sig = {"ftype": "func", "name": m[1], "return_type": source[above].strip(), "is_static": False, "param_types": []}
-        out.append({"file_key": file_key, "sig": sig, "start_row": above, "start_col": 0, "end_row": end, "end_col": max(0, len(source[end]) - 1), "is_function": True, "parameter": [], "body": "\n".join(source[above : end + 1]), **occurrences(code, first, last, rows)})
-        known.add(m[1])
-        row = end + 1
     return out
 
 
