@@ -425,7 +425,7 @@ def test_all_pairs_of_a_long_posting(spark, monkeypatch):
     for i in range(0, 30):  # pairs far from the posting's first entry
         sets.append((100 + i, np.arange((60 + i) * 100 + 5, (60 + i) * 100 + 50, dtype="<u8")))
     posted = spark.createDataFrame([(7, i) for i, _ in sets], "key long, node long")
-    found = similar.links(posted, spark.createDataFrame([(i, h.tobytes()) for i, h in sets], "node long, h binary"))
+    found = similar.links(posted, lambda nodes: spark.createDataFrame([(i, h.tobytes()) for i, h in sets], "node long, h binary").join(nodes, "node"))
     assert {tuple(r) for r in found.collect()} == {(100 + i, 60 + i) for i in range(30)}
 
 
