@@ -285,7 +285,7 @@ def test_hnsw(spark, tmp_path):
     rows = [(i, [float(c) for c in x]) for i, x in enumerate(v.astype(np.float32))]
     special = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, []), (905, rows[5][1][:8]), (None, rows[0][1]), (7, rows[7][1]), (906, [float("inf")] * 16), (907, [1e30 * c for c in rows[9][1]])]
     df = spark.createDataFrame(rows + special, "vec_id long, embedding array<float>").withColumn("shard", F.lit("x"))
-    got = hnsw.op4_hnsw_near_dedup(spark, saved(spark, tmp_path, embeddings=df)).collect()
+    got = hnsw.near_duplicates(df, "vec_id", "embedding").collect()
     assert len(got) == len(rows) + len(special)
     all_ = {**{i: np.array(x) for i, x in rows}, 907: np.array(special[-1][1])}
     ids = sorted(all_)
@@ -297,6 +297,7 @@ def test_hnsw(spark, tmp_path):
     by = {r["vec_id"]: r for r in got}
     exact = sum(by[i]["n_links"] == n for i, n in zip(ids, near.sum(axis=1)))
     assert exact == len(ids) and all(by[i]["component_id"] == comp[i] and by[i]["kept"] == (comp[i] == i) for i in ids)
+    assert all(r["audit_recall"] >= 0.99 for r in got)
     for i in (900, 901, 902, 903, 904, 905, 906):
         assert (by[i]["n_links"], by[i]["component_id"], by[i]["kept"]) == (0, i, True)
     assert (by[None]["n_links"], by[None]["component_id"], by[None]["kept"]) == (0, None, False)
@@ -332,7 +333,7 @@ def test_audit_counts_links_of_sparse_queries_only():
             return ids, np.where(ids >= 0, 1.0, -2.0)
 
     g = Blind(x.astype(np.float32), [])
-    a, b, whole = hnsw.found_links(g, x, x, g.x, 0.9, True)
+    a, b, whole, links, missed = hnsw.found_links(g, x, x, g.x, 0.9, True)
     got = set(zip(a.tolist(), b.tolist()))
     assert all((i, i + 1) in got or i in set(whole.tolist()) for i in range(0, 3000, 3))
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import os
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import scratch_path, shared_dir, stored
 
-__all__ = ["WORD", "crc_mod", "opened", "parts", "release", "released", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
+__all__ = ["WORD", "crc_mod", "load", "new_path", "opened", "parts", "release", "released", "save", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
 
 #: The word of the contracts; bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +76,33 @@ def opened(path: str, write: bool = False):
         where.create_dir(os.path.dirname(inside))
         return where.open_output_stream(inside)
     return where.open_input_file(inside)
+
+
+def save(path: str, **arrays: np.ndarray) -> None:
+    """Arrays, each compressed."""
+    head, body = [], []
+    for name, x in arrays.items():
+        x = np.ascontiguousarray(x)
+        data = pa.compress(x.tobytes(), "zstd", asbytes=True)
+        head.append((name, x.dtype.str, x.nbytes, len(data)))
+        body.append(data)
+    told = json.dumps(head).encode()
+    with opened(path, True) as out:
+        out.write(len(told).to_bytes(8, "little") + told)
+        for data in body:
+            out.write(data)
+
+
+def load(path: str) -> dict[str, np.ndarray]:
+    with opened(path) as file:
+        data = memoryview(file.read())
+    at = 8 + int.from_bytes(data[:8], "little")
+    found = {}
+    for name, kind, size, length in json.loads(bytes(data[8:at])):
+        found[name] = np.frombuffer(pa.decompress(data[at : at + length], size, "zstd", asbytes=True) if size else b"", kind)
+        at += length
+    return found
+
+
+def new_path(folder: str, kind: str) -> str:
+    return f"{folder}/{kind}-{uuid.uuid4().hex}"

@@ -1,11 +1,11 @@
 """Embedding near-dedup: a hierarchical navigable small-world graph for each shard, every shard queried with every vector.
 
-Vectors are dealt to shards by a hash of their identifier. A task builds a shard's graph; another takes a pair of shards and queries
-each one's graph with the other's vectors. Searches go in lockstep: all queries of a block move their beams together. A beam is widened
-until an audit (exact answers for some queries of the task) finds at least ``RECALL`` of the links of queries that the graph answers, over
-``LINKS`` such links or all queries; a query whose whole beam is
-near enough, so that more may follow, is answered exactly, block by block. Links that either side found are verified in double precision and
-counted; only counts and a spanning forest leave the task, never all pairs of a dense group. Components come from the forests.
+Vectors are dealt to shards by a hash of their identifier. A task builds a shard's graph and writes it to a file of the shared folder; another
+reads those of a pair of shards and queries each one's graph with the other's vectors. Searches go in lockstep: all queries of a block
+move their beams together. A beam is widened until an audit (exact answers for some queries of the task) finds at least ``RECALL`` of the
+links of queries that the graph answers, over ``LINKS`` such links or all queries; a query whose whole beam is near enough, so that more may
+follow, is answered exactly, block by block. Links that either side found are verified in double precision and counted; only counts and a
+spanning forest leave the task, never all pairs of a dense group. Components come from the forests, and the audits are summed up.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have no links and are their own component;
 vectors of different lengths have none with each other; rows with one identifier are one vector (the greatest of them) and get equal
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import load, new_path, parts, release, released, save, scratch_path, stored, table
 from .components import components, forest
 
 COSINE = 0.9
 RECALL, AUDIT, LINKS = 0.99, 64, 500
-SHARDS, SHARD_BYTES = 6, 32 << 20
+#: At least so many shards, and at most so many bytes and rows in each.
+SHARDS, SHARD_BYTES, SHARD_ROWS = 6, 32 << 20, 1 << 16
 M, BUILD_BEAM, BEAM = 16, 64, 48
 TOGETHER = 4
 QUERIES = 512
@@ -185,9 +186,9 @@ def exact(q: np.ndarray, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.n
     return np.nonzero(q @ x.T >= cosine)
 
 
-def found_links(graph: Graph, x: np.ndarray, q: np.ndarray, q32: np.ndarray, cosine: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (query, row) that the graph gives, verified; and the queries that must be answered exactly: a beam full of links. ``same``: the
-    queries are the rows, so row i is no link of query i.
+def found_links(graph: Graph, x: np.ndarray, q: np.ndarray, q32: np.ndarray, cosine: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Links (query, row) that the graph gives, verified; the queries that must be answered exactly: a beam full of links; and of the
+    audit, the true links and those that the graph missed. ``same``: the queries are the rows, so row i is no link of query i.
 
     Queries without a full beam are audited, AUDIT at a time, until they hold LINKS links. Where all are, the audit is the answer."""
     order = np.random.default_rng(len(q)).permutation(len(q))
@@ -215,26 +216,29 @@ def found_links(graph: Graph, x: np.ndarray, q: np.ndarray, q32: np.ndarray, cos
                 a, b = a[a != b], b[a != b]
             truth_a, truth_b, links = np.concatenate([truth_a, a]), np.concatenate([truth_b, b]), links + len(a)
         counted = ~full[truth_a]
-        if (audited | full).all():
-            return truth_a[counted], truth_b[counted], np.flatnonzero(full)
         missed = int((~np.isin(truth_a[counted] * len(x) + truth_b[counted], r * len(x) + rows)).sum())
+        if (audited | full).all():
+            return truth_a[counted], truth_b[counted], np.flatnonzero(full), links, missed
         if missed <= (1 - RECALL) * links:
-            return r, rows, np.flatnonzero(full)
+            return r, rows, np.flatnonzero(full), links, missed
         beam *= 2
-    return np.zeros(0, int), np.zeros(0, int), np.arange(len(q))
+    return np.zeros(0, int), np.zeros(0, int), np.arange(len(q)), 0, 0
 
 
 def linked(one: tuple, two: tuple | None, cosine: float):
-    """one, two: (vectors, graph) of two shards (two is None: a shard with itself). Counts of links for the rows of both (of one alone),
-    and the root of each row in a forest over all rows."""
+    """one, two: (vectors, graph) of two shards (two is None: a shard with itself). Counts of links for the rows of both (of one alone), the
+    root of each row in a forest over all rows, and the audits' true and missed links."""
     x, g = one
     y, h = two or one
     n, m = len(x), len(y)
     shift = n if two else 0
     counts = np.zeros(n + (m if two else 0), np.int64)
     root = np.arange(len(counts))
-    a1, b1, full_x = found_links(h, y, x, g.x, cosine, not two)
-    a2, b2, full_y = (np.zeros(0, int), np.zeros(0, int), full_x) if not two else (lambda r: (r[1], r[0], r[2]))(found_links(g, x, y, h.x, cosine))
+    a1, b1, full_x, links, missed = found_links(h, y, x, g.x, cosine, not two)
+    a2, b2, full_y = np.zeros(0, int), np.zeros(0, int), full_x
+    if two:
+        b2, a2, full_y, more, lost = found_links(g, x, y, h.x, cosine)
+        links, missed = links + more, missed + lost
     exact_x, exact_y = np.zeros(n, bool), np.zeros(m, bool)
     exact_x[full_x], exact_y[full_y] = True, True
     for q, rows, whole, own, other, mine in ((x, full_x, y, 0, shift, exact_y), *([(y, full_y, x, shift, 0, exact_x)] if two else [])):
@@ -258,36 +262,38 @@ def linked(one: tuple, two: tuple | None, cosine: float):
         np.add.at(counts, a, 1)
         np.add.at(counts, b, 1)
         root = forest(np.concatenate([np.arange(len(root)), a]), np.concatenate([root, b]), len(root))
-    return counts, root
-
+    return counts, root, links, missed
 
-def packed(ids: np.ndarray, x: np.ndarray) -> dict:
-    """A shard's row: identifiers, double unit vectors, and its graph."""
-    g = Graph(x.astype(np.float32))
-    return {"ids": ids.tobytes(), "x": x.tobytes(), "layers": [{"own": o.astype("<i8").tobytes(), "near": k.astype("<i4").tobytes(), "width": k.shape[1]} for o, k in g.layers]}
 
+def write_shard(path: str, ids: np.ndarray, x: np.ndarray) -> None:
+    """Identifiers, double unit vectors, and their graph."""
+    layers = {f"{name}{i}": a for i, pair in enumerate(Graph(x.astype(np.float32)).layers) for name, a in zip(("own", "near"), pair)}
+    save(path, ids=ids, x=x, **layers)
 
-def unpacked(row: dict, dim: int) -> tuple:
-    ids = np.frombuffer(row["ids"], "<i8")
-    x = np.frombuffer(row["x"], "<f8").reshape(-1, dim)
-    layers = [(np.frombuffer(r["own"], "<i8"), np.frombuffer(r["near"], "<i4").reshape(-1, r["width"])) for r in row["layers"]]
-    return ids, (x, Graph(x.astype(np.float32), layers))
 
-
-SHARD = "dim int, shard int, ids binary, x binary, layers array<struct<own: binary, near: binary, width: int>>"
+def read_shard(path: str) -> tuple:
+    f = load(path)
+    x = f["x"].reshape(len(f["ids"]), -1)
+    layers, i = [], 0
+    while f"own{i}" in f:
+        layers.append((f[f"own{i}"], f[f"near{i}"].reshape(len(f[f"own{i}"]), -1)))
+        i += 1
+    return f["ids"], (x, Graph(x.astype(np.float32), layers))
 
 
 def near_duplicates(vectors: DataFrame, key: str, vector: str, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id, kept: a row for each row of vectors."""
+    """vec_id, n_links, component_id, kept, and the audits' recall (of the links that graphs answer; null where these are none): a row for
+    each row of vectors."""
     spark = vectors.sparkSession
+    folder = scratch_path(spark, "shards")
     named = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     fine = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
     each = named.where(F.col("vec_id").isNotNull() & fine).groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))
     sizes = {r["dim"]: r["n"] for r in each.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
-    shards = {d: max(SHARDS, -(-n * 8 * d // SHARD_BYTES)) for d, n in sizes.items()}
+    shards = {d: max(SHARDS, -(-n * 8 * d // SHARD_BYTES), -(-n // SHARD_ROWS)) for d, n in sizes.items()}
     if not shards:
         none = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
-        return _told(named, none)
+        return _told(named, none, None)
     of = F.create_map(*[F.lit(x) for d, s in shards.items() for x in (d, s)])
     dealt = each.withColumn("shard", F.pmod(F.xxhash64("vec_id"), of[F.col("dim")]).cast("int"))
 
@@ -297,35 +303,59 @@ def near_duplicates(vectors: DataFrame, key: str, vector: str, cosine: float = C
         x = np.stack(group.column("v").to_numpy(zero_copy_only=False))[order]
         x = x / np.abs(x).max(axis=1, keepdims=True)  # large or tiny components neither overflow nor vanish
         x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-        row = packed(ids[order].astype("<i8"), x) | {"dim": key[0].as_py(), "shard": key[1].as_py()}
-        return pa.Table.from_pylist([row], pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("layers", pa.list_(pa.struct([("own", pa.binary()), ("near", pa.binary()), ("width", pa.int32())])))]))
-
-    graphs = stored(dealt.groupBy("dim", "shard").applyInArrow(build, SHARD), "graphs")
-    other = F.explode(F.sequence(F.lit(0), of[F.col("dim")] - 1))
-    met = graphs.withColumn("o", other).withColumns({"i": F.least("shard", "o"), "j": F.greatest("shard", "o")})
-
-    def compare(key, group):
-        dim, i, j = (k.as_py() for k in key)
-        rows = {r["shard"]: r for r in group.to_pylist()}
-        both = [unpacked(rows[s], dim) for s in dict.fromkeys((i, j)) if s in rows]
-        if not both or i != j and len(both) < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        counts, root = linked(both[0][1], both[1][1] if i != j else None, cosine)
-        ids = np.concatenate([b[0] for b in both])
-        some = counts > 0
-        return pa.table({"a": ids[some], "b": ids[root[some]], "n": counts[some]})
-
-    found = stored(met.groupBy("dim", "i", "j").applyInArrow(compare, "a long, b long, n long"), "links")
+        path = new_path(folder, "shard")
+        write_shard(path, ids[order].astype("<i8"), x)
+        release()
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "path": [path]})
+
+    n = parts(spark)
+    graphs = stored(dealt.repartition(n, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, path string"), "graphs")
+    # a row for each pair of shards; tasks read the two graphs from their files, so no vector is shuffled again
+    one, two = (graphs.select("dim", F.col("shard").alias(s), F.col("path").alias(f"{s}_path")) for s in "ij")
+    met = one.join(two, "dim").where("i <= j").repartition(n, "dim", "i", "j")
+
+    def compare(batches):
+        for batch in batches:
+            for _, i, path, j, other in zip(*(c.to_pylist() for c in batch.columns)):
+                both = [read_shard(p) for p in ([path] if i == j else [path, other])]
+                counts, root, links, missed = linked(both[0][1], both[1][1] if i != j else None, cosine)
+                ids = np.concatenate([b[0] for b in both])
+                some = counts > 0
+                yield pa.RecordBatch.from_pydict({"a": ids[some], "b": ids[root[some]], "n": counts[some], "missed": np.zeros(some.sum(), np.int64)})
+                yield pa.RecordBatch.from_pydict({"a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64()), "n": [links], "missed": [missed]})
+
+    found = stored(met.select("dim", "i", "i_path", "j", "j_path").mapInArrow(released(compare), "a long, b long, n long, missed long"), "links")
+    audit = found.where("a IS NULL").agg(F.sum("n").alias("n"), F.sum("missed").alias("missed")).first()
+    found = found.where("a IS NOT NULL")
     labels = components(found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    return _told(named, counts.join(labels, F.col("vec_id") == F.col("node"), "left").select("vec_id", "n_links", F.col("component").alias("component_id")))
+    told = counts.join(labels, F.col("vec_id") == F.col("node"), "left").select("vec_id", "n_links", F.col("component").alias("component_id"))
+    return _told(named, told, 1 - audit["missed"] / audit["n"] if audit["n"] else None)
 
 
-def _told(named: DataFrame, found: DataFrame) -> DataFrame:
+def _told(named: DataFrame, found: DataFrame, recall: float | None) -> DataFrame:
     out = named.select("vec_id").join(found, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept, F.lit(recall).cast("double").alias("audit_recall"))
 
 
 def op4_hnsw_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").drop("audit_recall")
+
+
+OP4_SQL = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, max(embedding::DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0 GROUP BY vec_id),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) >= 0.9::DOUBLE * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))),
+reach(node, root) AS (
+  SELECT a, a FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(r.root, e.vec_id) AS component_id, coalesce(r.root, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN roots r ON r.node = e.vec_id
+"""

@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_hnsw_near_dedup": hnsw.OP4_SQL,
         "op6_line_dedup": linededup.OP6_SQL,
         "op7_mixing_target_weights": mixing.OP7_SQL,
     }
