@@ -9,29 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset: a new local folder if all runs in this process, else an error, since executors of a cluster
+    would each write to their own disk."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="verdigraph-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="verdigraph-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+def _scratch(spark: SparkSession):
+    """This application's folder, and its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/verdigraph-{spark.sparkContext.applicationId}")
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_marked: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/verdigraph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's folder, which goes when the application ends."""
+    target, fs = _scratch(spark)
+    if target.toString() not in _marked:
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _marked.add(target.toString())
+    return f"{target.toString()}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df written to a table in the shared folder and read from there: a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Deletes all that this application stored."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/verdigraph-{spark.sparkContext.applicationId}")
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Deletes all that this application stored so far: results that were not read yet are lost."""
+    target, fs = _scratch(spark)
+    fs.delete(target, True)
