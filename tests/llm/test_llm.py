@@ -264,6 +264,41 @@ def test_resampling_keeps_a_tone():
     assert len(y) == 6000 and np.abs(np.fft.rfft(y)).argmax() == 440 and err < 0.5
 
 
+def test_features_against_plain_sums():
+    """Resampling as a convolution of the stuffed signal, log-mel energies as sums over frequencies, segments by a loop."""
+    rng = np.random.default_rng(21)
+    text = bytes(rng.integers(0, 256, 3000).tolist()) + b"\x80" * 2500 + b"\x00\xff" * 700
+    samples, blocks, spans, found = audio.Features()(audio.wav(audio.payload_of(text)))
+    x = (np.frombuffer(samples, np.uint8).astype(float) - 128) / 128
+    stuffed = np.zeros(len(x) * audio.UP)
+    stuffed[:: audio.UP] = x
+    h = audio._lowpass().T.ravel().astype(float)
+    whole = np.convolve(stuffed, h)
+    y = np.array([whole[m * audio.DOWN + audio.UP * (audio.TAPS - 1 - audio.TAPS // 2)] for m in range(len(x) * audio.UP // audio.DOWN)])
+    assert np.allclose(audio.resample(x.astype(np.float32)), y, atol=1e-5)
+    rate, n, mel, level = audio.RATE * audio.UP / audio.DOWN, audio.FRAME, [], []
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * k / (n - 1)) for k in range(n)]
+    to_mel = lambda f: 2595 * log10(1 + f / 700)
+    edges = [700 * (10 ** (to_mel(rate / 2) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    for at in range(0, len(y) - n + 1, audio.HOP):
+        frame = y[at : at + n]
+        power = [abs(sum(v * w * np.exp(-2j * np.pi * k * t / n) for t, (v, w) in enumerate(zip(frame, window)))) ** 2 for k in range(n // 2 + 1)] if at % (audio.HOP * 8) == 0 else None
+        level.append(np.sqrt((frame * frame).mean()))
+        mel.append(power and [log10(audio.FLOOR + sum(p * max(0.0, min((k * rate / n - a) / (b - a), (c - k * rate / n) / (c - b))) for k, p in enumerate(power))) for a, b, c in zip(edges, edges[1:], edges[2:])])
+    flat = blocks.reshape(-1, audio.MELS)
+    assert sum(s[2] for s in spans) == len(mel) and all(np.allclose(flat[i], m, atol=1e-3) for i, m in enumerate(mel) if m)
+    want, start = [], None
+    for i, v in enumerate([*level, -1]):
+        if start is None and v >= audio.ON:
+            start = i
+        elif start is not None and v < audio.OFF:
+            want.append((start, i))
+            start = None
+    assert found == want and want
+    back, same = audio.read_tensors(audio.tensor_stream(blocks, spans))
+    assert same == spans and np.abs(back - blocks).max() < 0.01
+
+
 def test_segments_and_tensors():
     assert audio.segments(np.array([0, 0.3, 0.4, 0.3, 0.26, 0.2, 0.3, 0.5]), 0.35, 0.25) == [(2, 5), (7, 8)]
     assert audio.segments(np.array([0.3, 0.3])) == []

@@ -3,7 +3,7 @@
 A payload is stored losslessly as the samples of an 8-bit mono WAV file. From the stored file come: samples resampled by UP / DOWN with
 a polyphase windowed-sinc filter; overlapped frames under a Hann window; log energies of a mel filterbank; segments that begin where a
 frame's level reaches ON and end where it falls under OFF; and the frames cut into blocks of BLOCK x MELS, one fixed-shape tensor
-each, with the time span that it covers, as an Arrow stream.
+each, with the time span that it covers, as an Arrow stream. Media and tensors are stored in tables; digests are of what is read back.
 
 Defined results: a null text is an empty one; payloads are padded with bytes 32 to a positive multiple of 192, so there is always a
 frame; equal texts give equal bytes; a last block is filled up with the floor level and says how many frames are real; an empty table
@@ -29,6 +29,8 @@ UP, DOWN, TAPS = 3, 4, 16
 FRAME, HOP, MELS, BLOCK = 192, 96, 32, 64
 ON, OFF = 0.35, 0.25
 FLOOR = 1e-6
+#: Rows that are held at a time.
+ROWS = 256
 
 
 def payload_of(text: bytes) -> bytes:
@@ -126,8 +128,8 @@ def tensors(mel: np.ndarray, rate: float) -> tuple[np.ndarray, list[tuple[int, i
 
 
 def tensor_stream(blocks: np.ndarray, spans: list[tuple[int, int, int]]) -> bytes:
-    """An Arrow stream of a fixed-shape tensor column and its time spans."""
-    columns = [pa.FixedShapeTensorArray.from_numpy_ndarray(blocks), *(pa.array([s[i] for s in spans], pa.int32()) for i in range(3))]
+    """An Arrow stream of a fixed-shape tensor column (half precision) and its time spans."""
+    columns = [pa.FixedShapeTensorArray.from_numpy_ndarray(blocks.astype(np.float16)), *(pa.array([s[i] for s in spans], pa.int32()) for i in range(3))]
     batch = pa.RecordBatch.from_arrays(columns, ["tensor", "start_ms", "end_ms", "frames"])
     out = io.BytesIO()
     with pa.ipc.new_stream(out, batch.schema) as writer:
@@ -135,6 +137,13 @@ def tensor_stream(blocks: np.ndarray, spans: list[tuple[int, int, int]]) -> byte
     return out.getvalue()
 
 
+def read_tensors(stream: bytes) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Blocks and spans of such a stream."""
+    t = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    blocks = t.column("tensor").combine_chunks().to_numpy_ndarray().astype(np.float32)
+    return blocks, list(zip(*(t.column(c).to_pylist() for c in ("start_ms", "end_ms", "frames"))))
+
+
 class Features:
     def __init__(self) -> None:
         self.bank, self.rate = None, None
@@ -155,28 +164,35 @@ def stored_media(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def store(batches):
         for batch in batches:
-            texts = text_bytes(batch, "text")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([wav(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = text_bytes(part, "text")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([wav(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(store), "doc_id long, n_bytes long, media binary"), "media", "zstd")
 
-    return stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(store, "doc_id long, n_bytes long, media binary"), "media")
+
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary, segments array<struct<start: int, end: int>>"
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """doc_id, tensors (Arrow stream), segments (ms) of stored media."""
+    """Of stored media: what was read back, tensors (an Arrow stream), and segments (frames); in a table of the shared folder."""
 
     def compute(batches):
         features = Features()
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 rows = []
-                for m in part.column(1).to_pylist():
-                    _, blocks, spans, found = features(m)
-                    at = HOP * 1000 * DOWN / (features.rate * UP)
-                    rows.append((tensor_stream(blocks, spans), [{"start_ms": int(a * at), "end_ms": int(b * at)} for a, b in found]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])))], ["doc_id", "tensors", "segments"])
+                for m in part.column(2).to_pylist():
+                    samples, blocks, spans, found = features(m)
+                    told = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(m), hashlib.sha256(m).hexdigest())
+                    rows.append((*told, tensor_stream(blocks, spans), [{"start": a, "end": b} for a, b in found]))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], [c.split(":")[0].split()[0] for c in STORED.split(", ", 8)])
 
-    return media.select("doc_id", "media").mapInArrow(compute, "doc_id long, tensors binary, segments array<struct<start_ms: long, end_ms: long>>")
+    return stored(media.select("doc_id", "n_bytes", "media").mapInArrow(released(compute), STORED), "features", "zstd")
 
 
 def digest(blocks: np.ndarray, spans: list, found: list) -> str:
@@ -189,17 +205,14 @@ def digest(blocks: np.ndarray, spans: list, found: list) -> str:
 
 
 def op3_audio_features(spark, sf_dir: str) -> DataFrame:
-    media = stored_media(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = audio_features(stored_media(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
     def told(batches):
-        features = Features()
         for batch in batches:
-            rows = []
-            for m in batch.column(2).to_pylist():
-                samples, blocks, spans, found = features(m)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(m), hashlib.sha256(m).hexdigest(), digest(blocks, spans, found)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.mapInArrow(told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                both = zip(part.column(7).to_pylist(), part.column(8).to_pylist())
+                features = [digest(*read_tensors(t), [(x["start"], x["end"]) for x in some]) for t, some in both]
+                yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(features, pa.string())], [*part.schema.names[:7], "feature"])
+
+    return found.mapInArrow(released(told), STORED.split(", tensors")[0] + ", feature string")
