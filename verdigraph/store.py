@@ -23,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _scratch(spark: SparkSession):
-    """This application's folder, and its file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/verdigraph-{spark.sparkContext.applicationId}")
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """This application's folder, as text and as a path, and its file system."""
+    name = f"{shared_dir(spark).rstrip('/')}/verdigraph-{spark.sparkContext.applicationId}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return name, target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 _marked: set[str] = set()
@@ -33,12 +34,12 @@ _marked: set[str] = set()
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in this application's folder, which goes when the application ends."""
-    target, fs = _scratch(spark)
-    if target.toString() not in _marked:
+    folder, target, fs = _scratch(spark)
+    if folder not in _marked:
         fs.mkdirs(target)
         fs.deleteOnExit(target)
-        _marked.add(target.toString())
-    return f"{target.toString()}/{name}-{uuid.uuid4().hex}"
+        _marked.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
@@ -51,5 +52,5 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes all that this application stored so far: results that were not read yet are lost."""
-    target, fs = _scratch(spark)
+    _, target, fs = _scratch(spark)
     fs.delete(target, True)
