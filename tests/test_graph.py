@@ -167,16 +167,43 @@ def test_lookups(spark, tmp_path):
     assert G.signatures(decls).where("size(files) > 1").count() == 0
 
 
-def test_store_is_built_once(spark, tmp_path):
-    (tmp_path / "src").mkdir()
-    (tmp_path / "src" / "a.c").write_text("int f(void) { return 1; }")
+def test_callers_by_name_are_those_of_all_edges(spark):
+    random.seed(5)
+    rows = [("u", f"f{random.randrange(3)}", f"n{i}", random.choice("abcde"), random.random() < 0.4, [{"name": random.choice("abcdefgh")} for _ in range(2)]) for i in range(40)]
+    funcs = spark.createDataFrame(rows, "unit string, file_key string, node string, name string, static boolean, calls array<struct<name: string>>")
+    starts = funcs.select(F.col("node").alias("start")).limit(9)
+    for depth in (0, 2):
+        want = {tuple(r) for r in G.caller_levels(starts, G.callers(funcs), depth).collect()}
+        assert {tuple(r) for r in G.callers_by_name(starts, funcs, depth).collect()} == want and want
+
+
+def test_store_is_built_once(spark, tmp_path, monkeypatch):
+    for unit, text in (("one", "int f(void) { return 1; }"), ("two", "int g(void) { return 1; }")):
+        (tmp_path / unit).mkdir()
+        (tmp_path / unit / "a.c").write_text(text)
     where = str(tmp_path / "decls")
-    manifest, _ = jobs.build(spark, str(tmp_path / "src"), where)
-    assert manifest.first()["n_functions"] == 1
-    jobs.build(spark, str(tmp_path / "src"), where)
-    assert S.read_decls(spark, where, ["src"]).count() == 1
-    jobs.build(spark, str(tmp_path / "src"), where, force=True)
-    assert S.read_decls(spark, where).count() == 1
+    at = lambda unit, root, **more: jobs.build(spark, S.scan_sources(spark, str(tmp_path / unit)), where, roots=spark.createDataFrame([(unit, root)], "unit string, repo_root string"), **more)
+    first, _ = at("one", "/r1")
+    assert [(r["key"], r["status"], r["n_functions"], r["repo_root"]) for r in first.collect()] == [("one", "built", 1, "/r1")]
+    seen = []
+    real = S.parse
+    monkeypatch.setattr(S, "parse", lambda sources, *a: (seen.append(sources.count()), real(sources, *a))[1])
+    second, _ = at("two", "/r2", previous=first)
+    both, _ = jobs.build(spark, S.scan_sources(spark, str(tmp_path)), where, roots=spark.createDataFrame([("one", "/r9"), ("two", "/r9")], "unit string, repo_root string"), previous=second)
+    assert seen == [1, 0]  # what the store has isn't parsed again, and keeps its root
+    assert sorted((r["key"], r["status"], r["repo_root"]) for r in second.collect()) == [("one", "built", "/r1"), ("two", "built", "/r2")]
+    assert sorted((r["key"], r["status"], r["repo_root"]) for r in both.collect()) == [("one", "skipped", "/r1"), ("two", "skipped", "/r2")]
+    at("one", "/r1", force=True)
+    assert S.read_decls(spark, where, ["one"]).count() == 1 and S.read_decls(spark, where).count() == 2
+
+
+def test_a_failed_unit_is_told(spark):
+    sources = spark.createDataFrame([("good", "a.c", "int f(void) { return 1; }"), ("bad", "b.c", "int broken;"), ("half", "c.c", "int broken;"), ("half", "d.c", "int g(void) { return 1; }")], "unit string, file_key string, text string")
+    decls = spark.createDataFrame([("good",), ("half",)], "unit string")
+    errors = spark.createDataFrame([("bad", "b.c", "ValueError: no"), ("half", "c.c", "ValueError: no")], "unit string, file_key string, error string")
+    units = sources.select(F.col("unit").alias("key")).distinct().withColumn("skipped", F.lit(False))
+    got = {r["key"]: (r["status"], r["n_functions"], r["error"]) for r in S.build_manifest(units, decls, errors).collect()}
+    assert got == {"good": ("built", 1, None), "bad": ("failed", 0, "ValueError: no"), "half": ("built", 1, "ValueError: no")}
 
 
 def test_command_line(spark, tmp_path):
@@ -191,6 +218,8 @@ def test_command_line(spark, tmp_path):
     r = spark.read.json(str(tmp_path / "h" / "reports")).first()
     assert (r["warning_id"], r["final_label"], r["ground_truth_label"], len(r["levels"])) == ("p__0000", "TP", "TP", 2)
     assert jobs.main([*house, "triage", "--votes", "1"], spark) == 0 and spark.read.json(str(tmp_path / "h" / "reports")).count() == 1
+    told = "".join(p.read_text() for p in (tmp_path / "h" / "logs").glob("offline-*.log"))
+    assert "dry run: {'ok': 1}" in told and "'TP': 1" in told and "skipped 1" in told
 
 
 def test_spans(spark):

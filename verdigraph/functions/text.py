@@ -196,3 +196,8 @@ def estimated_tokens(context: Column, text: Column) -> Column:
 def is_rate_limit(message: Column) -> Column:
     low = F.lower(message)
     return low.contains("ratelimiterror") | low.contains("rate_limit_error") | low.contains(" 429")
+
+
+def messages(context: Column, prompt: Column) -> Column:
+    """A prompt as turns: role and content of the system's and of the user's."""
+    return F.array(F.struct(F.lit("system").alias("role"), context.alias("content")), F.struct(F.lit("user").alias("role"), prompt.alias("content")))

@@ -28,7 +28,7 @@ def contexts(warnings: DataFrame, decls: DataFrame, units: DataFrame | None = No
     matched = R.decl_files(base, files)
     funcs = G.functions(decls)
     roots = units.select(F.col("key").alias("unit"), "repo_root").dropDuplicates(["unit"]) if units is not None else None
-    named = funcs.join(F.broadcast(roots), "unit", "left") if roots is not None else funcs.withColumn("repo_root", F.lit(None).cast("string"))
+    named = funcs.join(roots, "unit", "left") if roots is not None else funcs.withColumn("repo_root", F.lit(None).cast("string"))
     ident = F.when(F.col("repo_root").isNull(), X.identifier(F.col("file_key"), F.col("sig"))).otherwise(X.identifier(F.col("file_key"), F.col("sig"), F.col("repo_root")))
     bodies = named.select("node", ident.alias("identifier"), F.when(F.col("body").isNotNull(), F.array("body")).otherwise(F.array().cast("array<string>")).alias("bodies"), "file_key", X.signature_text(F.col("sig")).alias("sig_text"))
     found = R.enclosing(base, matched, decls).join(base.select("warning_id", "unit"), "warning_id")
@@ -37,9 +37,12 @@ def contexts(warnings: DataFrame, decls: DataFrame, units: DataFrame | None = No
     context = base.drop("repo_root", "has_unit").join(
         rows.select("warning_id", "resolve_status", F.col("identifier").alias("enclosing_function_identifier"), F.coalesce("bodies", F.array().cast("array<string>")).alias("enclosing_function_bodies"), "node"), "warning_id"
     )
-    graph = G.callers(funcs).select("callee", "caller") if edges == "calls" else G.back_references(funcs).select(F.col("target").alias("callee"), F.col("source").alias("caller"))
     starts = rows.where("node IS NOT NULL").select(F.col("node").alias("start")).distinct()
-    reached = G.caller_levels(starts, graph, depth).join(bodies, "node")
+    if edges == "calls":
+        reached = G.callers_by_name(starts, funcs, depth)
+    else:
+        reached = G.caller_levels(starts, G.back_references(funcs).select(F.col("target").alias("callee"), F.col("source").alias("caller")), depth)
+    reached = reached.join(bodies, "node")
     order = Window.partitionBy("start", "level").orderBy("file_key", "sig_text")
     ordered = reached.withColumn("ord", F.row_number().over(order)).select(F.col("start").alias("node"), "level", "ord", "identifier", "bodies")
     callers = context.select("warning_id", "node").join(ordered, "node").select("warning_id", "level", "ord", "identifier", "bodies")

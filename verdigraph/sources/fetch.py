@@ -1,4 +1,6 @@
-"""Fetching sources, on the driver and outside Spark: pinned git commits and archives, into folders named by project and commit."""
+"""Fetching sources: pinned git commits and archives, into folders named by project and commit.
+
+:func:`fetch_all` fetches each checkout in a task, into a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -6,9 +8,15 @@ import re
 import shutil
 import subprocess
 import tarfile
+import tempfile
 import urllib.request
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from ..schemas import CHECKOUT
+
 _ARCHIVE = re.compile(r"\.(tar\.gz|tgz|tar\.bz2|tar\.xz|tar)$", re.I)
 
 
@@ -59,8 +67,39 @@ def fetch(project: str, url: str, commit: str | None, root: Path, force: bool =
             row["checked_out_commit"] = checkout(url, commit, dest, force, blobless)
         elif force or not dest.exists():
             shutil.rmtree(dest, ignore_errors=True)
-            path, _ = urllib.request.urlretrieve(url)
-            unpack(Path(path), dest)
+            with tempfile.NamedTemporaryFile(suffix=Path(url).name) as archive_file:
+                with urllib.request.urlopen(url) as reply:
+                    shutil.copyfileobj(reply, archive_file)
+                archive_file.flush()
+                unpack(Path(archive_file.name), dest)
     except Exception as e:  # noqa: BLE001  the row tells it
         row |= {"ok": False, "error": f"{type(e).__name__}: {e}"}
     return row
+
+
+def fetch_all(checkouts: DataFrame, root: str, force: bool = False, blobless: bool = False, tasks: int = 8) -> DataFrame:
+    """Rows of the checkout manifest, with the ordinals of checkouts (project, url, commit, ordinal). The result is to be stored: reading
+    it again fetches again, though what is there stays."""
+    schema = T.StructType([*CHECKOUT.fields, T.StructField("ordinal", T.LongType())])
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [{"error": None, **fetch(r.project, r.url, r.commit if isinstance(r.commit, str) else None, Path(root), force, blobless), "ordinal": r.ordinal} for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return checkouts.select("project", "url", "commit", "ordinal").repartition(tasks, "project", "url", "commit").mapInPandas(run, schema)
+
+
+def files_of(checkouts: DataFrame) -> DataFrame:
+    """(repo_root, path) of all files of checkouts that are ok."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(dest, str(p.relative_to(dest))) for dest in pdf["repo_root"] for p in Path(dest).rglob("*") if p.is_file() and ".git" not in p.relative_to(dest).parts]
+            yield pd.DataFrame(rows, columns=["repo_root", "path"])
+
+    return checkouts.where("ok").selectExpr("dest AS repo_root").distinct().mapInPandas(run, "repo_root string, path string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,6 +98,17 @@ def scan_sources(spark: SparkSession, root: str, unit: Column | str | None = Non
     return files.select(of.alias("unit"), path.alias("file_key"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def scan_checkouts(spark: SparkSession, checkouts: DataFrame) -> DataFrame:
+    """Sources of checked-out units (key, dest), in one scan: a path's unit is the one whose folder holds it."""
+    found = [(r["key"], r["dest"].rstrip("/")) for r in checkouts.select("key", "dest").distinct().collect()]  # a row for each repository
+    if not found:
+        return spark.createDataFrame([], "unit string, file_key string, text string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{c,cpp,h}").load([d for _, d in found])
+    path = F.regexp_replace("path", "^file:/+", "/")
+    key = F.coalesce(*[F.when(path.startswith(re.sub("^file:/+", "/", d) + "/"), F.lit(k)) for k, d in found])
+    return files.select(key.alias("unit"), path.alias("file_key"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
 def parse(sources: DataFrame, name: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """Declarations of sources (unit, file_key, text), and errors (unit, file_key, error): a file that fails loses only itself.
 
@@ -127,8 +139,8 @@ def write_decls(decls: DataFrame, path: str, force: bool = False) -> DataFrame:
     """Appends units that the store at path lacks (all of them with force, replacing), partitioned by unit; returns what was written."""
     spark = decls.sparkSession
     new = decls
-    if not force and (there := existing(spark, path)) is not None:
-        new = decls.join(there.select("unit").distinct(), "unit", "left_anti")
+    if not force and (old := existing(spark, path)) is not None:
+        new = decls.join(old.select("unit").distinct(), "unit", "left_anti")
     new.write.partitionBy("unit").mode("overwrite" if force else "append").option("partitionOverwriteMode", "dynamic").parquet(path)
     return new
 
@@ -139,18 +151,27 @@ def read_decls(spark: SparkSession, path: str, units: list[str] | None = None) -
     return rows.where(F.col("unit").isin(units)) if units else rows
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
     """A parquet table, or None where there is none."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        return None
-    return spark.read.parquet(path)
+    return spark.read.parquet(path) if there(spark, path) else None
 
 
 def build_manifest(units: DataFrame, decls: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """units with status and n_functions (entries of all kinds)."""
-    counts = decls.groupBy("unit").agg(F.count(F.lit(1)).cast("int").alias("n_functions"))
-    return units.join(counts.withColumnRenamed("unit", "key"), "key", "left").withColumn("status", F.when(F.col("n_functions").isNull(), "failed").otherwise("built"))
+    """units (key, and skipped: it was in the store before) with status, n_functions (entries of all kinds) and error: of a unit's failed
+    files the first message. A unit without entries whose files failed has failed itself."""
+    counts = decls.groupBy(F.col("unit").alias("key")).agg(F.count(F.lit(1)).cast("int").alias("n_functions"))
+    out = units.join(counts, "key", "left").withColumn("n_functions", F.coalesce("n_functions", F.lit(0)))
+    if errors is None:
+        out = out.withColumn("error", F.lit(None).cast("string"))
+    else:
+        out = out.join(errors.groupBy(F.col("unit").alias("key")).agg(F.min_by("error", "file_key").alias("error")), "key", "left")
+    failed = F.col("error").isNotNull() & (F.col("n_functions") == 0)
+    return out.withColumn("status", F.when(failed, "failed").when(F.col("skipped"), "skipped").otherwise("built")).drop("skipped")
 
 
 def pending(warnings: DataFrame, reports: DataFrame | None, model: str) -> DataFrame:
@@ -190,6 +211,19 @@ def manifest_summary(df: DataFrame, status: str = "status") -> dict:
     return {r[status]: r["n"] for r in df.groupBy(status).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def write_manifest(path: str, head: dict) -> None:
-    with open(path, "w") as f:
-        json.dump(head, f, indent=1, sort_keys=True)
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any store that Spark writes to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(text.encode())
+    out.close()
+
+
+def checkout_manifest(checkouts: DataFrame, resolved: DataFrame) -> dict:
+    """The checkout manifest: a row for each checkout in order of first appearance, and the summary."""
+    rows = [r.asDict() for r in checkouts.orderBy("ordinal").drop("ordinal").collect()]  # a row for each repository that was fetched
+    return {"checkouts": rows, "summary": checkout_summary(checkouts, resolved).first().asDict()}
+
+
+def write_manifest(spark: SparkSession, path: str, head: dict) -> None:
+    write_text(spark, path, json.dumps(head, indent=1, sort_keys=True))
