@@ -1,7 +1,7 @@
 """Queries over the driver's tables, and their SQL.
 
-The tables hold no code and no warnings, so each query is a stand-in: an operator of the engine on another subject. They run over whole
-tables, but for two cuts that their SQL has too: walks end at level 8, and ``caller_levels`` filters line items and parts.
+The tables hold no code and no warnings, so each query is a stand-in: an operator of the engine on another subject. All run over whole
+tables.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from .operators import ladder as L
 from .operators import resolve as R
 from .operators import throttle as H
 from .sources import tables as S
-from .store import stored
+from .store import spread, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def since_epoch(unit: str, ts: str = "ts") -> Column:
@@ -32,18 +32,18 @@ def since_epoch(unit: str, ts: str = "ts") -> Column:
 
 
 def event_levels(spark: SparkSession, sf_dir: str, slots: int | None = None) -> DataFrame:
-    """warning_id (user), walk (day, or day modulo slots), level (1 to 8, in order of time), label by event type."""
+    """warning_id (user), walk (day, or day modulo slots), level (in order of time), label by event type."""
     day = since_epoch("DAY").cast("int")
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("warning_id"), (day % slots if slots else day).alias("walk"), "ts", "event_id", "event_type")
     order = Window.partitionBy("warning_id", "walk").orderBy("ts", "event_id")
     label = F.when(F.col("event_type") == "error", "FP").when(F.col("event_type") == "view", "UNKNOWN").otherwise("TP")
-    return e.select("warning_id", "walk", F.row_number().over(order).alias("level"), label.alias("label")).where("level <= 8")
+    return e.select("warning_id", "walk", F.row_number().over(order).alias("level"), label.alias("label"))
 
 
 def _levels_sql(walk: str) -> str:
     return f"""lv AS (
-  SELECT * FROM (SELECT user_id::VARCHAR AS warning_id, {walk} AS walk, row_number() OVER (PARTITION BY user_id, {walk} ORDER BY ts, event_id) AS level,
-    CASE event_type WHEN 'error' THEN 'FP' WHEN 'view' THEN 'UNKNOWN' ELSE 'TP' END AS label FROM events) WHERE level <= 8),
+  SELECT user_id::VARCHAR AS warning_id, {walk} AS walk, row_number() OVER (PARTITION BY user_id, {walk} ORDER BY ts, event_id) AS level,
+    CASE event_type WHEN 'error' THEN 'FP' WHEN 'view' THEN 'UNKNOWN' ELSE 'TP' END AS label FROM events),
 s1 AS (SELECT *, CASE WHEN label NOT IN ('TP', 'FP') OR label IS DISTINCT FROM lag(label) OVER (PARTITION BY warning_id, walk ORDER BY level) THEN 1 ELSE 0 END AS brk FROM lv),
 s2 AS (SELECT *, sum(brk) OVER (PARTITION BY warning_id, walk ORDER BY level) AS run FROM s1),
 s3 AS (SELECT *, CASE WHEN label IN ('TP', 'FP') THEN row_number() OVER (PARTITION BY warning_id, walk, run ORDER BY level) ELSE 0 END AS streak,
@@ -189,18 +189,18 @@ SELECT CASE WHEN NOT has_file THEN 'file_not_resolved' WHEN n_both = 1 THEN 'lin
 
 
 def caller_levels(spark, sf_dir):
-    """Parts that follow each other in an order, from every hundredth part, three levels."""
+    """Parts that follow each other in an order, from every part, two levels: the depth that callers have by default."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
     edges = stored(li.where("dst IS NOT NULL").distinct(), "edges")
-    starts = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("start"))
-    return G.levels(starts, edges, 3).withColumn("level", F.col("level").cast("long"))
+    starts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("start"))
+    return G.levels(starts, edges, 2).withColumn("level", F.col("level").cast("long"))
 
 
 CALLER_LEVELS = """WITH RECURSIVE edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
-  FROM lineitem WHERE l_quantity >= 45) WHERE dst IS NOT NULL),
-walk AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS level FROM part WHERE p_partkey % 100 = 0
-  UNION SELECT w.start, e.dst, w.level + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.level < 3)
+  FROM lineitem) WHERE dst IS NOT NULL),
+walk AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS level FROM part
+  UNION SELECT w.start, e.dst, w.level + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.level < 2)
 SELECT start, min(level)::BIGINT AS level, node FROM walk WHERE node <> start GROUP BY start, node"""
 
 
@@ -308,11 +308,25 @@ TOKEN_BUDGET = """SELECT event_id, (sum(floor(value)::BIGINT) OVER (PARTITION BY
 
 
 def token_admission(spark, sf_dir):
-    """When each event's tokens fit under its type's budget of 3000 a minute; no SQL, since a wait moves those behind it."""
+    """When each event's tokens fit under its type's budget of 3000 a minute."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", (since_epoch("MICROSECOND") / 1e6).alias("at"), F.greatest(F.lit(0), F.floor("value")).cast("long").alias("tokens"))
     return H.admitted(e, "event_type", "at", "tokens", "event_id", 3000).select("event_id", "admitted_at")
 
 
+#: A round takes each type's next event; the state holds what was admitted in the window.
+TOKEN_ADMISSION = """WITH RECURSIVE e AS (SELECT event_id, event_type AS k, epoch_us(ts) / 1e6::DOUBLE AS at, greatest(0, floor(value)::BIGINT) AS n, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+run(k, i, event_id, clock, seen) AS (
+  SELECT DISTINCT k, 0::BIGINT, NULL::BIGINT, '-infinity'::DOUBLE, []::STRUCT(t DOUBLE, n BIGINT)[] FROM e
+  UNION ALL
+  SELECT k, i, event_id, go, CASE WHEN counted THEN list_append(kept, {'t': go, 'n': n}) ELSE kept END FROM (
+    SELECT *, CASE WHEN NOT counted OR lacking <= 0 THEN now ELSE greatest(now + 0.1::DOUBLE,
+        list_filter(kept, lambda x, p: coalesce(list_sum(list_transform(kept[1:p], lambda y: y.n)), 0) >= lacking)[1].t + 60.05::DOUBLE) END AS go FROM (
+      SELECT *, n > 0 AND n <= 3000 AS counted, coalesce(list_sum(list_transform(kept, lambda x: x.n)), 0) + n - 3000 AS lacking FROM (
+        SELECT e.k, e.i, e.event_id, e.n, greatest(r.clock, e.at) AS now, list_filter(r.seen, lambda x: x.t > greatest(r.clock, e.at) - 60) AS kept
+        FROM run r JOIN e ON e.k = r.k AND e.i = r.i + 1))))
+SELECT event_id, clock AS admitted_at FROM run WHERE event_id IS NOT NULL"""
+
+
 def max_level(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("warning_id"), F.col("turn").alias("level"))
     return L.max_level(c, c.select("warning_id").distinct(), 6).select(F.col("warning_id").alias("conv_id"), F.col("max_level").cast("long").alias("max_level"))
@@ -387,7 +401,7 @@ QUERIES = {
     "line_number": (line_number, LINE_NUMBER),
     "strip_comments": (strip_comments, STRIP_COMMENTS),
     "token_budget": (token_budget, TOKEN_BUDGET),
-    "token_admission": (token_admission, None),
+    "token_admission": (token_admission, TOKEN_ADMISSION),
     "max_level": (max_level, MAX_LEVEL),
     "resume_pending": (resume_pending, RESUME_PENDING),
     "prompt_sections": (prompt_sections, PROMPT_SECTIONS),

@@ -54,3 +54,9 @@ def drop_scratch(spark: SparkSession) -> None:
     """Deletes all that this application stored so far: results that were not read yet are lost."""
     _, target, fs = _scratch(spark)
     fs.delete(target, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a small table has fewer splits than these; as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
