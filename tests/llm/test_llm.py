@@ -404,6 +404,21 @@ def test_simhash(spark, tmp_path, monkeypatch):
     assert simhash.op5_simhash_near_dedup(spark, saved(spark, tmp_path / "e", documents=odd(spark, []))).count() == 0
 
 
+def test_counts_of_shared_bytes():
+    """Against all pairs; the count keeps every pair of two differing bits and drops pairs that are far apart."""
+    rng = np.random.default_rng(22)
+    fp = rng.integers(0, 4, (300, 8)).astype(np.uint8).view("<u8").ravel()
+    run = np.sort(rng.integers(0, 9, 300))
+    own = np.zeros((300, 8), bool)
+    own[:, 2:4] = True
+    by = fp.view(np.uint8).reshape(-1, 8)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if run[i] == run[j] and 2 + sum(by[i, p] == by[j, p] for p in range(8) if not own[i, p]) >= 6 and any(by[i, p] == by[j, p] for p in range(8) if not own[i, p])}
+    got = set(zip(*(x.tolist() for x in simhash.tallied(fp, run, own, 6))))
+    assert got == want and 0 < len(got) < 300
+    with pytest.raises(ValueError):
+        simhash.runs_of(4)
+
+
 def test_postings_reach_every_near_pair(spark):
     random.seed(10)
     pairs, entries = [], []

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import scratch_path, shared_dir, stored
+from ..store import scratch_path, shared_dir, spread, stored
 
 __all__ = ["WORD", "crc_mod", "load", "new_path", "opened", "parts", "release", "released", "save", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
 
@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def parts(spark: SparkSession) -> int:

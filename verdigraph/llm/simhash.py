@@ -1,10 +1,11 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
 A fingerprint is 64 majority bits of its shingles' hashes, so 8 byte positions. Fingerprints that differ in at most k bits agree in at
-least 8 - k whole bytes: the guaranteed minimum. The index lists fingerprints under their positional bytes. A list for one position
-would hold 1/256 of all fingerprints and pairs would grow with the square of the input, so with the positions in k + 2 runs a posting is
-two whole runs' bytes (at least two runs are untouched by k differing bytes): pairs that can reach the minimum meet in at least one posting. For each
-pair in a posting the shared positional bytes are tallied, pairs below the minimum go, and the rest are verified by their differing bits.
+least 8 - k whole bytes: the guaranteed minimum. The index lists fingerprints under their positional bytes, in two steps. A list for one
+position over the whole corpus would hold 1/256 of all fingerprints, and its pairs would grow with the square of the input; so with the
+positions in k + 2 runs a posting is two whole runs' bytes (at least two runs are untouched by k differing bytes), and pairs that can reach the
+minimum meet in at least one. Inside a posting, the fingerprints are listed by their byte at each position that is left; every list a pair shares
+adds to its count, and only pairs whose count and the posting's own bytes reach the minimum are verified by their differing bits.
 
 Equal fingerprints are one entry. A posting leaves only a spanning forest of its verified links, not its pairs; one with more than
 ``POSTING`` entries is dealt into blocks, and each pair of blocks is a posting of its own, so no task holds an unbounded list.
@@ -33,6 +34,8 @@ SEED = 42
 POSTING = 2048
 #: Links that are held before they are reduced to a forest.
 HELD = 1 << 20
+#: Possible pairs whose shared bytes are counted at a time.
+PAIRS = 1 << 22
 
 
 def hashes(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -63,13 +66,19 @@ def fingerprints(docs: DataFrame, key: str, text: str, words: int = SHINGLE, see
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(mark), "doc_id long, fp long")
 
 
-def postings(entries: DataFrame, bits: int) -> DataFrame:
-    """posting, value, fp, node: under each pair of runs of byte positions, the bytes there."""
+def runs_of(bits: int) -> list[tuple[int, ...]]:
+    """The positions of each posting: two of bits + 2 runs. Those left must take part in the count, so bits may be 3 at most."""
+    if not 0 <= bits <= 3:
+        raise ValueError("bits must be 0 to 3")
     runs = bits + 2
     cuts = [8 * i // runs for i in range(runs + 1)]
-    masks = [sum(0xFF << 8 * p for p in range(cuts[i], cuts[i + 1])) for i in range(runs)]
-    pairs = [masks[i] | masks[j] for i in range(runs) for j in range(i + 1, runs)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in pairs]
+    return [(*range(cuts[i], cuts[i + 1]), *range(cuts[j], cuts[j + 1])) for i in range(runs) for j in range(i + 1, runs)]
+
+
+def postings(entries: DataFrame, bits: int) -> DataFrame:
+    """posting, value, fp, node: under each pair of runs of byte positions, the bytes there."""
+    masks = [sum(0xFF << 8 * p for p in own) for own in runs_of(bits)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     return entries.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("posting", "value"))
 
 
@@ -104,28 +113,56 @@ def _verified(batches, bits):
         yield from _pairs(rest, (rest[:4, 1:] == rest[:4, :-1]).all(axis=0), bits)
 
 
+def tallied(fp: np.ndarray, run: np.ndarray, own: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of one run that share at least ``least`` positional bytes. own: of each entry, the positions that its posting shares
+    already. Of every other position the run's entries are listed by their byte there, and each list adds one to its pairs' counts."""
+    n, by, codes = len(fp), fp.astype("<u8").view(np.uint8).reshape(-1, 8), [np.zeros(0, np.int64)]
+    for p in range(8):
+        some = np.flatnonzero(~own[:, p])
+        key = run[some] * 256 + by[some, p]
+        order = np.argsort(key, kind="stable")
+        some, key = some[order], key[order]
+        first, d = np.flatnonzero(key[1:] == key[:-1]), 1
+        while len(first):
+            codes.append(some[first] * n + some[first + d])
+            d += 1
+            first = first[first + d < len(key)]
+            first = first[key[first] == key[first + d]]
+    codes = np.concatenate(codes)
+    if n * n <= 4 * PAIRS:
+        count = np.bincount(codes, minlength=n * n)
+        pairs = np.flatnonzero(count)
+        count = count[pairs]
+    else:
+        pairs, count = np.unique(codes, return_counts=True)
+    a, b = np.divmod(pairs, n)
+    enough = count + own.sum(axis=1)[a] >= least
+    return a[enough], b[enough]
+
+
 def _pairs(rows, same, bits):
+    """Spanning links of the verified pairs. Runs are taken together up to PAIRS possible pairs at a time."""
     fp, node = rows[4].view(np.uint64), rows[5]
     n = len(fp)
     run = np.concatenate([[0], np.cumsum(~same)])
-    root, found, held = np.arange(n), [], 0
-    first = np.arange(n - 1)[same]  # entries with a partner at this distance
-    d = 1
-    while len(first):
-        x = fp[first] ^ fp[first + d]
-        shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        near = shared >= 8 - bits
-        near[near] = np.bitwise_count(x[near]) <= bits
+    kinds = np.zeros((len(runs_of(bits)), 8), bool)
+    for k, positions in enumerate(runs_of(bits)):
+        kinds[k, list(positions)] = True
+    sizes = np.bincount(run)
+    group = (np.cumsum(sizes.astype(float) ** 2) // PAIRS).astype(np.int64)
+    ends = np.cumsum(sizes)[np.append(group[1:] != group[:-1], True)]
+    root, found, held, lo = np.arange(n), [], 0, 0
+    for hi in ends.tolist():
+        a, b = tallied(fp[lo:hi], run[lo:hi], kinds[rows[0][lo:hi]], 8 - bits)
+        near = np.bitwise_count(fp[lo:hi][a] ^ fp[lo:hi][b]) <= bits
         if near.any():
-            found.append(np.stack([first[near], first[near] + d]))
+            found.append(np.stack([a[near], b[near]]) + lo)
             held += found[-1].shape[1]
         if held > HELD:
             found = [np.stack([np.arange(n), root]), *found]
             a, b = np.concatenate(found, axis=1)
             root, found, held = forest(a, b, n), [], 0
-        d += 1
-        first = first[first + d < n]
-        first = first[run[first] == run[first + d]]
+        lo = hi
     a, b = np.concatenate([np.stack([np.arange(n), root]), *found], axis=1)
     root = forest(a, b, n)
     out = root != np.arange(n)
