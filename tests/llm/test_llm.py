@@ -238,6 +238,32 @@ def test_toxicity(spark, tmp_path):
     assert none.count() == len(ODD) and none.where("predicted = 1").count() == 0
 
 
+def test_scores_against_a_plain_field(spark):
+    """Every document's score by forward and backward sums over single tokens, from the learned weights."""
+    from math import exp, log, log1p
+
+    rows = toxic_rows(120, 23) + [(1000, None, "", "", 0, False), (1001, "", "", "", 0, False), (1002, "zonk", "", "", 0, True), (1003, "grrr zonk " * 700 + "w1 " * 3000, "", "", 0, True)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("_score", F.lit("x"))
+    field = toxicity.fit([((r[1] or "").encode(), int(r[5])) for r in rows if r[0] % 3])
+    got = {r["doc_id"]: r for r in toxicity.tagged(docs, "text", field).collect()}
+    both = lambda x, y: max(x, y) + log1p(exp(-abs(x - y)))
+    for r in rows:
+        ids = [field.index.get(w, 0) for w in toxicity.words((r[1] or "").encode())]
+        around = [0, *ids, 0]
+        e = [(0.0, float(field.bias + field.w[0][i] + field.w[1][a] + field.w[2][b])) for a, i, b in zip(around, ids, around[2:])]
+        forward = []
+        for k, x in enumerate(e):
+            forward.append([(field.s[c] if not k else both(*(forward[-1][d] + field.a[d][c] for d in (0, 1)))) + x[c] for c in (0, 1)])
+        backward = [[0.0, 0.0]]
+        for x in reversed(e[1:]):
+            backward.append([both(*(field.a[c][d] + x[d] + backward[-1][d] for d in (0, 1))) for c in (0, 1)])
+        p = [1 / (1 + exp(f[0] + b[0] - f[1] - b[1])) for f, b in zip(forward, reversed(backward))]
+        top = [*sorted(p, reverse=True), 0.0, 0.0]
+        z = sum(c * x for c, x in zip(field.curve, (1.0, log1p(sum(p)), top[0], top[1])))
+        assert abs(got[r[0]]["_score"] - 1 / (1 + exp(-z))) < 1e-6, r[0]
+        assert len(got[r[0]]["_spans"]) == sum(x > toxicity.SPAN for x in p)
+
+
 # 3
 
 
@@ -649,6 +675,58 @@ def test_quality(spark, tmp_path):
     assert quality.op9_quality_classifier(spark, saved(spark, tmp_path / "e", documents=odd(spark, []))).count() == 0
 
 
+def test_quality_against_plain_sums(spark, monkeypatch):
+    """Label model and scorer by loops over documents and trigrams."""
+    from math import exp, log
+
+    monkeypatch.setattr(quality, "ROUNDS", 8)
+    random.seed(24)
+    some = [f"{random.choice('bcdf')}{random.choice('aeiou')}{random.choice('lmnr')}" for _ in range(60)]
+    texts = []
+    for i in range(60):
+        w = [random.choice(some) + random.choice(("", "", ".", ",")) for _ in range(20)]
+        texts.append((i, " ".join(x + "%" for x in w) if i % 5 == 0 else " ".join(w).upper() + "!!" * 9 if i % 5 == 1 else " ".join(w)))
+    texts += [(100, None), (101, "ab"), (102, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model, scorer, _ = quality.fitted(docs, "doc_id", "text")
+    got = {r["doc_id"]: r for r in quality.scored(docs, "text", model, scorer).collect()}
+    raw = [(t or "").encode() for _, t in texts]
+    votes = [quality.votes(quality.measured(t)) for t in raw]
+    good = [0.05 if 0 in v else 0.95 if 1 in v else 0.5 for v in votes]
+    k = len(votes[0])
+    for _ in range(50):
+        share = sum(good) / len(good)
+        p = [[[0.5] * 3 for _ in range(k)] for _ in (0, 1)]
+        for v, g in zip(votes, good):
+            for c, weight in ((0, 1 - g), (1, g)):
+                for i, x in enumerate(v):
+                    p[c][i][x] += weight
+        p = [[[x / sum(row) for x in row] for row in rows] for rows in p]
+        good = [1 / (1 + exp(-(sum(log(p[1][i][x]) - log(p[0][i][x]) for i, x in enumerate(v)) + log(share / (1 - share))))) for v in votes]
+    assert all(abs(got[i]["_posterior"] - g) < 1e-9 for (i, _), g in zip(texts, good))
+    grams = [[((t[i] << 16 | t[i + 1] << 8 | t[i + 2]) * 2654435761 % (1 << 32)) >> 16 for i in range(len(t) - 2)] for t in raw]
+    extra = [quality.dense(t) for t in raw]
+    w, sq, d, dq, bias, bq = Counter(), Counter(), [0.0, 0.0], [0.0, 0.0], 0.0, 0.0
+    score = lambda i: 1 / (1 + exp(-(8 * sum(w[x] for x in grams[i]) / max(1, len(grams[i])) + sum(a * b for a, b in zip(d, extra[i])) + bias)))
+    for _ in range(8):
+        g = [y - score(i) for i, y in enumerate(good)]
+        grad = Counter()
+        for i, own in enumerate(grams):
+            for x in own:
+                grad[x] += g[i] * 8 / len(own)
+        for x in {*grad, *w}:
+            step = grad[x] - 0.01 * w[x]
+            sq[x] += step * step
+            w[x] += 0.5 * step / (sq[x] + 1e-8) ** 0.5
+        for j in (0, 1):
+            step = sum(a * e[j] for a, e in zip(g, extra))
+            dq[j] += step * step
+            d[j] += 0.5 * step / (dq[j] + 1e-8) ** 0.5
+        bq += sum(g) ** 2
+        bias += 0.5 * sum(g) / (bq + 1e-8) ** 0.5
+    assert all(abs(got[i]["_score"] - score(at)) < 1e-6 for at, (i, _) in enumerate(texts))
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(4)
     y = rng.random(20000) < 0.7
