@@ -430,6 +430,21 @@ def test_simhash(spark, tmp_path, monkeypatch):
     assert simhash.op5_simhash_near_dedup(spark, saved(spark, tmp_path / "e", documents=odd(spark, []))).count() == 0
 
 
+def test_hot_keys_are_joined_alike(spark, tmp_path, monkeypatch):
+    from verdigraph.llm import common
+
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 100, i) for i in range(300)], "k int, x int")
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("m"))
+    want = sorted(map(tuple, rows.join(facts.drop("n"), "k").collect()))
+    monkeypatch.setattr(common, "MANY", 10)
+    monkeypatch.setattr(common, "SENT_KEYS", 5)
+    assert sorted(map(tuple, common.hot_join(rows, facts, "k", 300).collect())) == want
+    links = [(random.randrange(40), random.randrange(40)) for _ in range(25)] + [(0, i) for i in range(50, 90)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    nodes = {x for p in links for x in p}
+    assert {n: got.get(n, n) for n in nodes} == brute_components(links, nodes)
+
+
 def test_counts_of_shared_bytes():
     """Against all pairs; the count keeps every pair of two differing bits and drops pairs that are far apart."""
     rng = np.random.default_rng(22)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..store import scratch_path, shared_dir, spread, stored
 
-__all__ = ["WORD", "crc_mod", "load", "new_path", "opened", "parts", "release", "released", "save", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
+__all__ = ["WORD", "crc_mod", "hot_join", "load", "new_path", "opened", "parts", "release", "released", "save", "scratch_path", "shared_dir", "stored", "table", "text_bytes", "utf8"]
 
 #: The word of the contracts; bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,3 +106,18 @@ def load(path: str) -> dict[str, np.ndarray]:
 
 def new_path(folder: str, kind: str) -> str:
     return f"{folder}/{kind}-{uuid.uuid4().hex}"
+
+
+#: Rows below which a key's share isn't looked at, and the most keys that are sent to the rows.
+MANY, SENT_KEYS = 1_000_000, 10_000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with facts by key. facts: a row for each key, with n, how many of the ``total`` rows have it. Keys with more than a
+    SENT_KEYS-th of all rows are fewer than SENT_KEYS, whatever the input: their facts are sent to the rows, the others meet by a shuffle."""
+    told = facts.drop("n")
+    if total < MANY:
+        return rows.join(told, key)
+    hot = F.broadcast(facts.where(F.col("n") > total // SENT_KEYS).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col("n") <= total // SENT_KEYS).drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)

@@ -2,7 +2,7 @@
 
 A large star hangs every larger neighbour of a node on the smallest node it sees, a small star does so with the smaller ones. When a
 round changes nothing, every node hangs on the smallest of its component. A node with very many links is no burden: its minimum is
-pre-aggregated, and its links are split by the skew join. Rounds grow with the logarithm of the longest chain.
+pre-aggregated and sent to its links. Rounds grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_join, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,11 +25,11 @@ def components(links: DataFrame) -> DataFrame:
             return down.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = now
         both = down.union(down.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = hot_join(both.where("b > a"), least, "a", 2 * now["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = hot_join(large, least, "a", now["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, released, stored, table, text_bytes
+from .common import hot_join, parts, released, stored, table, text_bytes
 from .components import components, forest
 
 BITS = 2
@@ -173,15 +173,15 @@ def _pairs(rows, same, bits):
 def near_duplicates(docs: DataFrame, key: str, text: str, words: int = SHINGLE, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """doc_id, fp, component_id: the smallest identifier that links of at most ``bits`` differing bits reach."""
     marked = stored(fingerprints(docs, key, text, words, seed), "fingerprints")
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    named = classes.where("node IS NOT NULL")
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
+    named = classes.where("node IS NOT NULL").select("fp", "node")
     # an identifier on rows of different texts ties their classes together
     many = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
-    tied = marked.join(many, "doc_id").distinct().join(classes, "fp").select("doc_id", "node")
+    tied = marked.join(many, "doc_id").distinct().join(named, "fp").select("doc_id", "node")
     ties = tied.join(tied.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
     found = components(links(named, bits).unionByName(ties))
-    labels = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = classes.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    return hot_join(marked, labels, "fp", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
