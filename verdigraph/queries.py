@@ -271,6 +271,68 @@ IDENTIFIERS = """SELECT p_partkey, p_brand || '.c::(''func'', ''' || p_name || '
   CASE p_size % 3 WHEN 0 THEN '()' WHEN 1 THEN '(''' || p_brand || ''',)' ELSE '(''' || p_brand || ''', "it''s")' END || ')' AS identifier FROM part"""
 
 
+def joined_checkouts(spark, sf_dir):
+    """Customers as warnings, met with the checkout of their project and commit; no commit equals no commit."""
+    commit = F.when(F.col("c_custkey") % 3 == 1, F.lit("0a")).when(F.col("c_custkey") % 3 == 2, F.lit(""))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("project"), commit.alias("commit_id"))
+    made = c.where("project <> 'BUILDING'").groupBy("project", F.nullif("commit_id", F.lit("")).alias("commit")).agg(F.concat(F.first("project"), F.lit("/"), F.coalesce(F.first(F.nullif("commit_id", F.lit(""))), F.lit("none"))).alias("dest"))
+    return S.join_checkouts(c, made.withColumn("ok", F.col("commit").isNotNull())).select("c_custkey", "repo_root", "ok")
+
+
+JOINED_CHECKOUTS = """WITH c AS (SELECT c_custkey, c_mktsegment AS project, CASE WHEN c_custkey % 3 = 1 THEN '0a' END AS "commit" FROM customer),
+m AS (SELECT DISTINCT project, "commit", project || '/' || coalesce("commit", 'none') AS repo_root, "commit" IS NOT NULL AS ok FROM c WHERE project <> 'BUILDING')
+SELECT c.c_custkey, m.repo_root, m.ok FROM c LEFT JOIN m ON m.project = c.project AND m."commit" IS NOT DISTINCT FROM c."commit" """
+
+
+def _parts(spark, sf_dir):
+    """Parts as functions named by their type and size, in a file for each brand, calling those of the two parts after them."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat("p_type", F.lit(" "), "p_size").alias("p_type"), "p_size")
+    called = p.select(F.explode(F.array(F.col("p_partkey") - 1, F.col("p_partkey") - 2)).alias("p_partkey"), F.struct(F.col("p_type").alias("name")).alias("c")).groupBy("p_partkey").agg(F.collect_list("c").alias("calls"))
+    f = p.join(called, "p_partkey", "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<struct<name: string>>")))
+    return f.select(F.lit("shop").alias("unit"), F.col("p_brand").alias("file_key"), F.col("p_partkey").alias("node"), F.col("p_type").alias("name"), (F.col("p_size") % 2 == 0).alias("static"), "calls", F.col("calls").alias("expr_used"))
+
+
+_PARTS = """p AS (SELECT p_partkey, p_brand, p_type || ' ' || p_size AS p_type, p_size % 2 = 0 AS static FROM part),
+c AS (SELECT a.p_partkey, a.p_brand, a.p_type AS own, b.p_type AS name FROM p a JOIN p b ON b.p_partkey - a.p_partkey IN (1, 2))"""
+
+
+def call_edges(spark, sf_dir):
+    return G.callers(_parts(spark, sf_dir)).select("callee", "caller")
+
+
+CALL_EDGES = f"""WITH {_PARTS} SELECT DISTINCT p.p_partkey AS callee, c.p_partkey AS caller FROM c JOIN p ON p.p_type = c.name AND (NOT p.static OR p.p_brand = c.p_brand)"""
+
+
+def name_references(spark, sf_dir):
+    return G.back_references(_parts(spark, sf_dir)).select("target", "source")
+
+
+NAME_REFERENCES = f"""WITH {_PARTS} SELECT DISTINCT p.p_partkey AS target, c.p_partkey AS source FROM c JOIN p ON p.p_type = c.name AND c.name <> c.own AND (NOT p.static OR p.p_brand = c.p_brand)"""
+
+
+def callers_of_some(spark, sf_dir):
+    """Callers of the suppliers' parts by the frontier's names, two levels, without the edges of all parts."""
+    starts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("start"))
+    return G.callers_by_name(starts, _parts(spark, sf_dir), 2).withColumn("level", F.col("level").cast("long"))
+
+
+CALLERS_OF_SOME = f"""WITH RECURSIVE {_PARTS},
+e AS (SELECT DISTINCT p.p_partkey AS callee, c.p_partkey AS caller FROM c JOIN p ON p.p_type = c.name AND (NOT p.static OR p.p_brand = c.p_brand)),
+walk AS (SELECT s_suppkey AS start, s_suppkey AS node, 0 AS level FROM supplier UNION SELECT w.start, e.caller, w.level + 1 FROM walk w JOIN e ON e.callee = w.node WHERE w.level < 2)
+SELECT start, min(level)::BIGINT AS level, node FROM walk WHERE node <> start GROUP BY start, node"""
+
+
+def last_entries(spark, sf_dir):
+    """Line items as entries of files by ship status, one signature for each part: the one that begins last stays."""
+    sig = F.struct(F.lit("func").alias("ftype"), F.col("l_partkey").cast("string").alias("name"), F.lit("").alias("return_type"), F.lit(False).alias("is_static"), F.array().cast("array<string>").alias("param_types"))
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("unit"), F.col("l_linestatus").alias("file_key"), sig.alias("sig"), F.col("l_orderkey").alias("start_row"), F.col("l_linenumber").alias("start_col"))
+    return G.last_of_each(d).select("unit", "file_key", F.col("sig.name").alias("name"), "start_row", F.col("start_col").cast("long").alias("start_col"))
+
+
+LAST_ENTRIES = """SELECT l_returnflag AS unit, l_linestatus AS file_key, l_partkey::VARCHAR AS name, l_orderkey AS start_row, l_linenumber::BIGINT AS start_col FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1"""
+
+
 # texts
 
 
@@ -370,6 +432,23 @@ SELECT m.conv_id, m.level::BIGINT AS level, false AS failed,
    || CASE WHEN m.level > 1 THEN chr(10) || chr(10) || '### Caller Context' || chr(10) || j.callers ELSE '' END) AS input FROM m LEFT JOIN j USING (conv_id)"""
 
 
+def context_problems(spark, sf_dir):
+    """What is wrong with the fourth level's context of conversations, some of whose turns are missing or empty."""
+    c = table(spark, sf_dir, "conversations")
+    context = c.select(F.col("conv_id").alias("warning_id"), F.array(F.lit("b")).alias("bug_type"), F.lit("x").alias("code_line"), F.array(F.lit("body")).alias("enclosing_function_bodies")).distinct()
+    turns = c.where("turn >= 1 AND (conv_id + turn) % 4 > 0").select("conv_id", "turn").distinct()
+    callers = turns.select(F.col("conv_id").alias("warning_id"), F.col("turn").cast("int").alias("level"), F.lit(1).alias("ord"), F.lit("f").alias("identifier"), F.array(F.when(F.expr("(conv_id + turn) % 5 = 0"), " ").otherwise("x")).alias("bodies"))
+    plan = context.select("warning_id", F.lit(0).alias("walk"), F.lit(4).alias("level"))
+    return C.prompts(plan, context, callers, "system", "blind").select(F.col("warning_id").alias("conv_id"), "prompt_error")
+
+
+CONTEXT_PROBLEMS = """WITH l AS (SELECT DISTINCT conv_id, turn, (conv_id + turn) % 5 > 0 AS whole FROM conversations WHERE turn BETWEEN 1 AND 3 AND (conv_id + turn) % 4 > 0),
+t AS (SELECT conv_id, i, any_value(whole) FILTER (here) AS whole FROM (SELECT c.conv_id, r.i, l.whole, l.turn IS NOT NULL AS here FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN range(1, 4) r(i) LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = r.i) GROUP BY 1, 2),
+s AS (SELECT conv_id, count(whole) AS n, string_agg(i::VARCHAR, ', ' ORDER BY i) FILTER (whole IS NULL) AS missing, string_agg(i::VARCHAR, ', ' ORDER BY i) FILTER (NOT whole) AS empty FROM t GROUP BY 1)
+SELECT conv_id, CASE WHEN n = 0 THEN 'requested caller levels 1..3, but callers_by_level is missing or empty' WHEN missing IS NOT NULL OR empty IS NOT NULL THEN
+  'requested caller levels 1..3, but caller context is incomplete (' || concat_ws('; ', 'missing level(s): [' || missing || ']', 'empty level(s): [' || empty || ']') || ')' END AS prompt_error FROM s"""
+
+
 def dry_counts(spark, sf_dir):
     """Outcomes of building prompts from conversations, and of those that have no body."""
     from .plans.jobs import dry_run
@@ -398,6 +477,12 @@ QUERIES = {
     "checkout_paths": (checkout_paths, CHECKOUT_PATHS),
     "unique_checkouts": (unique_checkouts, UNIQUE_CHECKOUTS),
     "identifiers": (identifiers, IDENTIFIERS),
+    "joined_checkouts": (joined_checkouts, JOINED_CHECKOUTS),
+    "call_edges": (call_edges, CALL_EDGES),
+    "name_references": (name_references, NAME_REFERENCES),
+    "callers_of_some": (callers_of_some, CALLERS_OF_SOME),
+    "last_entries": (last_entries, LAST_ENTRIES),
+    "context_problems": (context_problems, CONTEXT_PROBLEMS),
     "line_number": (line_number, LINE_NUMBER),
     "strip_comments": (strip_comments, STRIP_COMMENTS),
     "token_budget": (token_budget, TOKEN_BUDGET),
