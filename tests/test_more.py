@@ -122,3 +122,19 @@ def test_messages_of_a_prompt(spark):
 
     got = spark.createDataFrame([("s", "u")], "c string, p string").select(X.messages(F.col("c"), F.col("p")).alias("m")).first()["m"]
     assert [tuple(x) for x in got] == [("system", "s"), ("user", "u")]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as N
+
+    from verdigraph import store
+
+    nowhere = N(get=lambda *a: None)
+    sc = N(master="spark://host:7077", getConf=lambda: nowhere, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        store.shared_dir(N(sparkContext=sc, conf=nowhere))
+    path = store.scratch_path(spark, "x")
+    assert path.startswith(store.shared_dir(spark)) and spark.sparkContext.applicationId in path
+    small = store.spread(spark.range(5, numPartitions=1))
+    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and small.count() == 5
+    assert store.spread(spark.range(5, numPartitions=9)).rdd.getNumPartitions() == 9

@@ -333,6 +333,62 @@ LAST_ENTRIES = """SELECT l_returnflag AS unit, l_linestatus AS file_key, l_partk
 QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1"""
 
 
+def entry_lookup(spark, sf_dir):
+    """Parts as entries of a file for each brand. Each is asked for by its signature, by its kind and name, or by its name alone."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat("p_type", F.lit(" "), F.col("p_size") % 5).alias("name"), F.when(F.col("p_size") % 2 == 0, "func").otherwise("func_decl").alias("kind"))
+    sig = lambda kind, told: F.struct(kind.alias("ftype"), F.col("name"), told.alias("return_type"), F.lit(False).alias("is_static"), F.array().cast("array<string>").alias("param_types"))
+    key = F.col("p_partkey").cast("string")
+    decls = p.select(F.lit("shop").alias("unit"), F.col("p_brand").alias("file_key"), sig(F.col("kind"), key).alias("sig"), F.col("p_partkey").alias("start_row"))
+    way = F.col("p_partkey") % 3
+    asked = p.select(F.lit("shop").alias("unit"), F.col("p_brand").alias("file_key"), sig(F.when(way == 2, "macro").otherwise(F.col("kind")), F.when(way == 0, key).otherwise(F.concat(F.lit("asked "), key))).alias("sig"))
+    return R.lookup(asked, decls).select(F.col("sig.return_type").alias("asked"), F.col("found.return_type").alias("found"))
+
+
+ENTRY_LOOKUP = """WITH p AS (SELECT p_partkey, p_brand, p_type || ' ' || p_size % 5 AS name, CASE WHEN p_size % 2 = 0 THEN 'func' ELSE 'func_decl' END AS kind FROM part)
+SELECT CASE WHEN a.p_partkey % 3 = 0 THEN '' ELSE 'asked ' END || a.p_partkey AS asked, d.p_partkey::VARCHAR AS found FROM p a JOIN p d ON d.p_brand = a.p_brand AND d.name = a.name
+QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.p_partkey % 3 = 0 AND a.p_partkey = d.p_partkey THEN 0 WHEN a.p_partkey % 3 < 2 AND a.kind = d.kind THEN 1 ELSE 2 END, d.p_partkey) = 1"""
+
+
+def _orders(spark, sf_dir):
+    """Orders as functions in a file for each customer, which call (and use as types) one name each; and each file's first one, with a limit of
+    rows for even customers."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    used = F.array(F.struct(F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / 3) % 5).alias("name"), (F.col("o_orderkey") % 7).cast("int").alias("row")))
+    sig = F.struct(F.lit("func").alias("ftype"), F.concat(F.lit("f"), F.col("o_orderkey") % 5).alias("name"), F.col("o_orderkey").cast("string").alias("return_type"), F.lit(False).alias("is_static"), F.array().cast("array<string>").alias("param_types"))
+    decls = o.select(F.lit("shop").alias("unit"), F.col("o_custkey").cast("string").alias("file_key"), sig.alias("sig"), used.alias("calls"), used.alias("types_used"))
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    roots = first.select(G.node_id(F.lit("shop"), F.col("o_custkey").cast("string"), sig).alias("start"), F.when(F.col("o_custkey") % 2 == 0, 3).alias("lineno"))
+    return roots, decls
+
+
+def _order_keys(found):
+    key = lambda c: F.regexp_extract(c, "'([0-9]+)', False", 1).cast("long").alias(c)
+    return found.select(key("start"), key("node"))
+
+
+_ORDERS = """d AS (SELECT o_custkey AS f, o_orderkey AS k, o_orderkey % 5 AS name, o_orderkey // 3 % 5 AS called, o_orderkey % 7 AS row FROM orders),
+e AS (SELECT a.k AS src, b.k AS dst, a.row FROM d a JOIN d b ON b.f = a.f AND b.name = a.called),
+r AS (SELECT min(k) AS k, CASE WHEN f % 2 = 0 THEN 3 END AS lim FROM d GROUP BY f)"""
+
+
+def callees_in_file(spark, sf_dir):
+    return _order_keys(G.local_callees(*_orders(spark, sf_dir)))
+
+
+CALLEES_IN_FILE = f"""WITH RECURSIVE {_ORDERS},
+reach(start, node) AS (SELECT r.k, e.dst FROM r JOIN e ON e.src = r.k WHERE lim IS NULL OR row <= lim UNION SELECT start, dst FROM reach JOIN e ON src = node)
+SELECT start, node FROM reach UNION SELECT k, k FROM r"""
+
+
+def types_in_file(spark, sf_dir):
+    return _order_keys(G.used_types(*_orders(spark, sf_dir)))
+
+
+TYPES_IN_FILE = f"""WITH RECURSIVE {_ORDERS},
+reach(start, lim, node) AS (SELECT k, lim, k FROM r UNION SELECT start, lim, dst FROM reach JOIN e ON src = node AND (lim IS NULL OR row <= lim))
+SELECT DISTINCT start, node FROM reach"""
+
+
 # texts
 
 
@@ -482,6 +538,9 @@ QUERIES = {
     "name_references": (name_references, NAME_REFERENCES),
     "callers_of_some": (callers_of_some, CALLERS_OF_SOME),
     "last_entries": (last_entries, LAST_ENTRIES),
+    "entry_lookup": (entry_lookup, ENTRY_LOOKUP),
+    "callees_in_file": (callees_in_file, CALLEES_IN_FILE),
+    "types_in_file": (types_in_file, TYPES_IN_FILE),
     "context_problems": (context_problems, CONTEXT_PROBLEMS),
     "line_number": (line_number, LINE_NUMBER),
     "strip_comments": (strip_comments, STRIP_COMMENTS),
