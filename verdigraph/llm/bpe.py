@@ -30,7 +30,7 @@ from .common import released, table
 
 ROUNDS = 24
 #: Pieces kept by a task, rows that a query's rounds may make, and pieces decoded at a time.
-KEEP, QUERY_ROWS, DECODED = 150_000, 2_000_000, 40_000
+KEEP, QUERY_ROWS, DECODED = 80_000, 2_000_000, 40_000
 LONG_PIECE = 64
 #: Longest piece, or window of a piece, that is contracted pair by pair; and the bytes by which windows overlap.
 SHORT_BYTES, OVERLAP = 64, 24
@@ -72,6 +72,18 @@ SELECT w, pos, id, round FROM (SELECT *, max(round) OVER (PARTITION BY w) AS las
 """
 
 
+def cut_by_rows(pieces: list, rows: int):
+    """Runs of pieces, in their order, whose rounds make about so many rows at most."""
+    at = size = 0
+    for i, p in enumerate(pieces):
+        size += len(p) * min(len(p), ROUNDS)
+        if size >= rows:
+            yield pieces[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(pieces):
+        yield pieces[at:]
+
+
 class DuckBPE:
     """Ids and decoded bytes of pieces, by the ranks of a tiktoken file."""
 
@@ -97,8 +109,8 @@ class DuckBPE:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM tokens")
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.seen: dict[bytes, list[int]] = {}
+        self.forget()
 
     def ids(self, pieces: list[bytes], whole: bool = False) -> pa.Table:
         """w, pos, id of pieces, which are not empty and of SHORT_BYTES at most, or any length if ``whole``."""
@@ -120,18 +132,11 @@ class DuckBPE:
 
     def _contracted(self, pieces: list[bytes]) -> None:
         """Puts the ids of short pieces into ``seen``, by queries of bounded size."""
-        new = sorted({p for p in pieces if p not in self.seen}, key=len)
-        at = 0
-        while at < len(new):
-            upto, size = at, 0
-            while upto < len(new) and size < QUERY_ROWS:
-                size += len(new[upto]) * min(len(new[upto]), ROUNDS)
-                upto += 1
-            rows = self.ids(some := new[at:upto])
+        for some in cut_by_rows(sorted({p for p in pieces if p not in self.seen}, key=len), QUERY_ROWS):
+            rows = self.ids(some)
             ids = rows.column("id").to_pylist()
             ends = np.cumsum(np.bincount(rows.column("w").to_numpy(), minlength=len(some))).tolist()
             self.seen.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-            at = upto
 
     def _window(self, piece: bytes, at: int) -> tuple[list[int], list[int]]:
         """Ids, and ends in the piece, of the window that begins at ``at``."""
@@ -177,48 +182,53 @@ class DuckBPE:
     def decode(self, rows: pa.Table) -> list[bytes]:
         """The bytes of each w of rows (w, pos, id), in order of w."""
         self.db.register("coded", rows)
-        got = self.db.execute("SELECT string_agg(t.bytes, '' ORDER BY c.pos) FROM coded c JOIN tokens t USING (id) GROUP BY c.w ORDER BY c.w").fetchall()
+        got = self.db.sql("SELECT unhex(string_agg(t.bytes, '' ORDER BY c.pos)) AS b FROM coded c JOIN tokens t USING (id) GROUP BY c.w ORDER BY c.w").to_arrow_table()
         self.db.unregister("coded")
-        return [bytes.fromhex(x) for (x,) in got]
-
-    def learn(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        step = SHORT_BYTES - OVERLAP
-        rest = [p for p in pieces if p not in self.ranks]
-        long_ = [p for p in rest if len(p) > SHORT_BYTES]
-        self._contracted([p for p in rest if len(p) <= SHORT_BYTES])
-        self._contracted([p[i : i + SHORT_BYTES] for p in long_ for i in range(0, len(p), step)])
-        known = {p: self._joined(p) for p in long_}
-        found = {}
-        for first in range(0, len(pieces), DECODED):
-            some = pieces[first : first + DECODED]
-            lists = [[self.ranks[p]] if p in self.ranks else known[p] if p in known else self.seen[p] for p in some]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter(chain.from_iterable(lists), np.int64, n.sum())
-            ends = np.cumsum(n) * 4
-            rows = pa.table({"w": np.repeat(np.arange(len(some)), n), "pos": np.arange(len(ids)), "id": ids})
-            coded = ids.astype("<u4").tobytes()
-            found.update(zip(some, zip(map(coded.__getitem__, map(slice, (ends - 4 * n).tolist(), ends.tolist())), self.decode(rows))))
+        return got.column("b").to_pylist()
+
+    def _keep(self, pieces: list[str], rows: pa.Table) -> None:
+        """Takes the rows (w, pos, id) of pieces."""
+        ids = rows.column("id").to_numpy().astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(rows.column("w").to_numpy(), minlength=len(pieces)))
+        cut = map(slice, [0, *ends[:-1].tolist()], ends.tolist())
+        self.ids_of.update(zip(pieces, map(ids.__getitem__, cut)))
+        self.text_of.update(zip(pieces, self.decode(rows)))
+
+    def learn(self, pieces: list[str]) -> None:
+        coded = {p: p.encode("utf-8", "surrogatepass") for p in pieces}
+        lists = {p: [self.ranks[c]] for p, c in coded.items() if c in self.ranks}
+        short = sorted((p for p, c in coded.items() if p not in lists and len(c) <= SHORT_BYTES), key=len)
+        long_ = [p for p, c in coded.items() if p not in lists and len(c) > SHORT_BYTES]
+        for some in cut_by_rows(short, QUERY_ROWS):
+            self._keep(some, self.ids([coded[p] for p in some]))
+        self._contracted([coded[p][i : i + SHORT_BYTES] for p in long_ for i in range(0, len(coded[p]), SHORT_BYTES - OVERLAP)])
+        lists |= {p: self._joined(coded[p]) for p in long_}
         self.seen.clear()
-        return found
+        names = list(lists)
+        for first in range(0, len(names), DECODED):
+            some = names[first : first + DECODED]
+            n = np.fromiter((len(lists[p]) for p in some), np.int64, len(some))
+            ids = np.fromiter(chain.from_iterable(lists[p] for p in some), np.int64, n.sum())
+            self._keep(some, pa.table({"w": np.repeat(np.arange(len(some)), n), "pos": np.arange(len(ids)), "id": ids}))
+
+    def forget(self) -> None:
+        self.ids_of, self.text_of, self.old = {}, {}, ({}, {})
 
     def __call__(self, texts: list[bytes], pattern) -> list[tuple[bytes, bytes]]:
-        """Of each text, the ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
+        """Of each text, the ids as little-endian unsigned 32-bit integers, and the bytes that they decode to. Of the pieces seen, those of
+        the last KEEP to twice KEEP are kept."""
         split = [pattern.findall(t.decode("utf-8", "surrogatepass")) for t in texts]
-        if len(self.known) > KEEP:
-            self.known.clear()
-        known = self.known
-        new = [x for x in set().union(*split) if x not in known]
-        coded = [x.encode("utf-8", "surrogatepass") for x in new]
-        got = self.learn(coded)
-        for x, c in zip(new, coded):
-            known[x] = got[c]
-        out = []
-        for pieces in split:
-            pairs = [known[p] for p in pieces]
-            out.append((b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
+        if len(self.ids_of) > KEEP:
+            self.ids_of, self.text_of, self.old = {}, {}, (self.ids_of, self.text_of)
+        new = set().union(*split).difference(self.ids_of)
+        again = new.intersection(self.old[0])
+        for now, before in zip((self.ids_of, self.text_of), self.old):
+            now.update(zip(again, map(before.__getitem__, again)))
+        self.learn(list(new - again))
+        out = [(b"".join(map(self.ids_of.__getitem__, pieces)), b"".join(map(self.text_of.__getitem__, pieces))) for pieces in split]
         for x in new:  # long pieces hardly come again
             if len(x) > LONG_PIECE:
-                del known[x]
+                del self.ids_of[x], self.text_of[x]
         return out
 
 
@@ -248,7 +258,7 @@ def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str
                     columns = [*part.columns[:-1], pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
         finally:
-            bpe.known.clear()
+            bpe.forget()
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(released(run), schema)
 
