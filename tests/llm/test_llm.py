@@ -339,7 +339,8 @@ def test_segments_and_tensors():
 # 4
 
 
-def test_hnsw(spark, tmp_path):
+def test_hnsw(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARDS", 1)  # large enough that its graph is asked
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))
     v = np.concatenate([base, base[:60] + rng.normal(size=(60, 16)) * 0.15, np.repeat(base[:1], 150, 0) + rng.normal(size=(150, 16)) * 0.05])

@@ -4,7 +4,7 @@ Vectors are dealt to shards by a hash of their identifier. A task builds a shard
 reads those of a pair of shards and queries each one's graph with the other's vectors. Searches go in lockstep: all queries of a block
 move their beams together. A beam is widened until an audit (exact answers for some queries of the task) finds at least ``RECALL`` of the
 links of queries that the graph answers, over ``LINKS`` such links or all queries; a query whose whole beam is near enough, so that more may
-follow, is answered exactly, block by block. Links that either side found are verified in double precision and counted; only counts and a
+follow, is answered exactly, block by block; so are all where the beam would pass one ``TURN``-th of the shard. Links that either side found are verified in double precision and counted; only counts and a
 spanning forest leave the task, never all pairs of a dense group. Components come from the forests, and the audits are summed up.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have no links and are their own component;
@@ -29,6 +29,8 @@ SHARDS, SHARD_BYTES, SHARD_ROWS = 6, 32 << 20, 1 << 16
 M, BUILD_BEAM, BEAM = 16, 64, 48
 TOGETHER = 4
 QUERIES = 512
+#: A beam of more than one TURN-th of a shard costs more than comparing with all its rows, so that is done instead.
+TURN = 8
 
 
 class Graph:
@@ -194,7 +196,7 @@ def found_links(graph: Graph, x: np.ndarray, q: np.ndarray, q32: np.ndarray, cos
     order = np.random.default_rng(len(q)).permutation(len(q))
     truth_a, truth_b, audited = np.zeros(0, int), np.zeros(0, int), np.zeros(len(q), bool)
     beam = BEAM
-    while beam < len(x):
+    while beam * TURN <= len(x):
         ids, sims = graph.search(q32, beam)
         near = (sims >= cosine - 1e-3) & (ids >= 0)
         full = near.all(axis=1)
