@@ -720,6 +720,7 @@ def test_quality_against_plain_sums(spark, monkeypatch):
         p = [[[x / sum(row) for x in row] for row in rows] for rows in p]
         good = [1 / (1 + exp(-(sum(log(p[1][i][x]) - log(p[0][i][x]) for i, x in enumerate(v)) + log(share / (1 - share))))) for v in votes]
     assert all(abs(got[i]["_posterior"] - g) < 1e-9 for (i, _), g in zip(texts, good))
+    assert np.allclose(model.accuracies()["signs"], (p[0][0][0] / (1 - p[0][0][2]), p[1][0][1] / (1 - p[1][0][2])))
     grams = [[((t[i] << 16 | t[i + 1] << 8 | t[i + 2]) * 2654435761 % (1 << 32)) >> 16 for i in range(len(t) - 2)] for t in raw]
     extra = [quality.dense(t) for t in raw]
     w, sq, d, dq, bias, bq = Counter(), Counter(), [0.0, 0.0], [0.0, 0.0], 0.0, 0.0
