@@ -173,7 +173,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             sources, roots = S.scan_checkouts(spark, checkouts), checkouts.select(F.col("key").alias("unit"), F.col("dest").alias("repo_root"))
         previous = S.read_units(spark, at("units")) if S.there(spark, at("units")) else None
         manifest, errors = build(spark, sources, at("decls"), a.force, roots, previous)
-        manifest.write.mode("overwrite").json(at("units"))
+        manifest.orderBy("key").write.mode("overwrite").json(at("units"))
         errors.write.mode("overwrite").json(at("errors"))
         counts = S.manifest_summary(manifest)
         log.info("built: %s", counts)
