@@ -274,3 +274,42 @@ def test_sources(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"checkouts": [{"project": "p", "commit": "0123456789abcd", "ok": true}, {"project": "q", "ok": false}]}')
     assert [r["key"] for r in S.read_checkout_manifest(spark, str(tmp_path / "m.json")).collect()] == ["p__0123456789ab"]
     assert X.basename(F.col("x")) is not None
+
+
+def metrics(df, name):
+    """Values of a metric of all nodes of the plan that ran."""
+    df.collect()
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        if (own := p.metrics().get(name)).isDefined():
+            yield own.get().value()
+        inner = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        for x in inner:
+            yield from walk(x)
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_lookup_does_not_meet_namesakes_one_by_one(spark):
+    random.seed(3)
+    kinds = ["func", "func_decl", "macro", None]
+    entry = lambda i, n: ("u", "f", (random.choice(kinds), n, str(random.randrange(6)), False, ["int"] * random.randrange(2)), i)
+    schema = "unit string, file_key string, sig struct<ftype: string, name: string, return_type: string, is_static: boolean, param_types: array<string>>, start_row int"
+    known = [entry(random.choice([None, *range(9)]), random.choice(["a", "b", None])) for _ in range(40)]
+    asked = [entry(0, random.choice(["a", "b", "c", None])) for _ in range(40)]
+    decls, q = spark.createDataFrame(known, schema), spark.createDataFrame(asked, schema).drop("start_row")
+    text = {tuple(r["sig"])[:4] + (tuple(r["sig"]["param_types"]),): r["t"] for r in decls.select("sig", X.signature_text(F.col("sig")).alias("t")).collect()}
+    plain = lambda s: (*s[:4], tuple(s[4]))
+    one, every = {}, []
+    for _, _, sig, _ in asked:
+        met = [(0 if plain(k) == plain(sig) else 1 if k[0] is not None and k[0] == sig[0] else 2, -1 if at is None else at, text[plain(k)], plain(k)) for _, _, k, at in known if k[1] is not None and k[1] == sig[1]]
+        if met:
+            one[plain(sig)] = min(met)[3]
+            every += [(plain(sig), m[3]) for m in met if m[0] == min(met)[0]]
+    assert {plain(tuple(r["sig"])): plain(tuple(r["found"])) for r in R.lookup(q, decls).collect()} == one
+    got = [(plain(tuple(r["sig"])), plain(tuple(r["found"]))) for r in R.lookup(q, decls, every=True).collect()]
+    assert sorted(got, key=repr) == sorted(every, key=repr)
+    many = spark.range(1000).select(F.lit("u").alias("unit"), F.lit("f").alias("file_key"), F.expr("named_struct('ftype', 'func', 'name', 'a', 'return_type', string(id), 'is_static', false, 'param_types', array('int'))").alias("sig"), F.col("id").cast("int").alias("start_row"))
+    found = R.lookup(many.drop("start_row"), many)
+    assert max(metrics(found, "numOutputRows")) <= 1000 and found.where("sig = found").count() == 1000

@@ -92,15 +92,25 @@ def spans_at(points: DataFrame, spans: DataFrame, key: list[str], at: str, start
 
 
 def lookup(asked: DataFrame, decls: DataFrame, every: bool = False) -> DataFrame:
-    """Entries for (unit, file_key, sig): those with the signature, else with kind and name, else with the name; the first or every."""
-    known = decls.select("unit", "file_key", F.col("sig").alias("found"), "start_row").withColumn("_name", F.col("found.name"))
-    met = asked.withColumn("_name", F.col("sig.name")).join(known, ["unit", "file_key", "_name"])
-    rank = F.when(F.col("sig") == F.col("found"), 0).when(F.col("sig.ftype") == F.col("found.ftype"), 1).otherwise(2)
-    best = Window.partitionBy("unit", "file_key", "sig")
-    met = met.withColumn("_rank", rank).withColumn("_best", F.min("_rank").over(best)).where("_rank = _best")
+    """Entries for (unit, file_key, sig): those with the signature, else with kind and name, else with the name; the first or every.
+
+    Namesakes are not met one by one: what is known of a name is added up first, so rows grow with the input (and, for every, the result)."""
+    of = ["unit", "file_key"]
+    known = decls.where("sig.name IS NOT NULL").select(*of, F.col("sig").alias("found"), "start_row").withColumns({"_name": F.col("found.name"), "_kind": F.col("found.ftype")})
+    same = known.select(*of, F.col("found").alias("sig")).distinct().withColumn("_same", F.lit(True))
+    place = F.struct(F.col("start_row").alias("row"), X.signature_text(F.col("found")).alias("text"))
+    kinds = known.groupBy(*of, "_name", "_kind").agg(F.min(F.struct(place.alias("place"), "found")).alias("first"))
+    names = kinds.groupBy(*of, "_name").agg(F.min("first").alias("_any"), F.map_from_entries(F.collect_list(F.when(F.col("_kind").isNotNull(), F.struct("_kind", "first")))).alias("_by_kind"))
+    met = asked.withColumn("_name", F.col("sig.name"))
+    met = (met if every else met.dropDuplicates([*of, "sig"])).join(same, [*of, "sig"], "left").join(names, [*of, "_name"])
+    by_kind = F.col("_by_kind")[F.col("sig.ftype")]
     if not every:
-        met = met.withColumn("_n", F.row_number().over(best.orderBy("start_row", X.signature_text(F.col("found"))))).where("_n = 1").drop("_n")
-    return met.drop("_name", "_rank", "_best", "start_row")
+        return met.withColumn("found", F.when(F.col("_same"), F.col("sig")).otherwise(F.coalesce(by_kind, "_any")["found"])).drop("_name", "_same", "_any", "_by_kind")
+    met = met.withColumn("_rank", F.when(F.col("_same"), 0).when(by_kind.isNotNull(), 1).otherwise(2)).drop("_same", "_any", "_by_kind")
+    own = met.where("_rank = 0").join(known.select(*of, F.col("found").alias("sig"), "found"), [*of, "sig"])
+    kind = met.where("_rank = 1").withColumn("_kind", F.col("sig.ftype")).join(known.drop("start_row"), [*of, "_name", "_kind"])
+    name = met.where("_rank = 2").join(known.drop("start_row", "_kind"), [*of, "_name"])
+    return own.unionByName(kind.select(*own.columns)).unionByName(name.select(*own.columns)).drop("_name", "_rank")
 
 
 def enclosing_at(asked: DataFrame, decls: DataFrame) -> DataFrame:
