@@ -313,3 +313,19 @@ def test_lookup_does_not_meet_namesakes_one_by_one(spark):
     many = spark.range(1000).select(F.lit("u").alias("unit"), F.lit("f").alias("file_key"), F.expr("named_struct('ftype', 'func', 'name', 'a', 'return_type', string(id), 'is_static', false, 'param_types', array('int'))").alias("sig"), F.col("id").cast("int").alias("start_row"))
     found = R.lookup(many.drop("start_row"), many)
     assert max(metrics(found, "numOutputRows")) <= 1000 and found.where("sig = found").count() == 1000
+
+
+def test_edges_are_not_sent_again(spark):
+    random.seed(7)
+    rows = [("u", f"f{random.randrange(3)}", f"n{random.randrange(30)}", random.choice(["a", "b", "c", None]), random.random() < 0.4, [{"name": random.choice("abcd")} for _ in range(3)]) for i in range(60)]
+    schema = "unit string, file_key string, node string, name string, static boolean, calls array<struct<name: string>>"
+    funcs = spark.createDataFrame(rows, schema).withColumn("expr_used", F.col("calls"))  # nodes come in several ways
+    got = [(r["callee"], r["caller"]) for r in G.callers(funcs).collect()]
+    assert sorted(got) == sorted(brute_callers([r.asDict(recursive=True) for r in funcs.collect()]))
+    some = [r.asDict(recursive=True) for r in funcs.collect()]
+    want = {(g["node"], f["node"]) for f in some for g in some if g["name"] and f["name"] and f["name"] != g["name"] and any(c["name"] == g["name"] for c in f["calls"]) and (not g["static"] or g["file_key"] == f["file_key"])}
+    got = [(r["target"], r["source"]) for r in G.back_references(funcs).collect()]
+    assert sorted(got) == sorted(want)
+    many = spark.range(600).select(F.lit("u").alias("unit"), F.expr("concat('f', id % 50)").alias("file_key"), F.col("id").alias("node"), F.expr("concat('a', id % 4)").alias("name"), F.expr("id % 2 = 0").alias("static"), F.expr("array(named_struct('name', concat('a', (id + 1) % 4)))").alias("calls"))
+    for found in (G.callers(many), G.back_references(many.withColumn("expr_used", F.col("calls")))):
+        assert found.count() > 40_000 and max(metrics(found, "shuffleRecordsWritten")) < 2000 and max(metrics(found, "numOutputRows")) <= found.count()
