@@ -329,3 +329,19 @@ def test_edges_are_not_sent_again(spark):
     many = spark.range(600).select(F.lit("u").alias("unit"), F.expr("concat('f', id % 50)").alias("file_key"), F.col("id").alias("node"), F.expr("concat('a', id % 4)").alias("name"), F.expr("id % 2 = 0").alias("static"), F.expr("array(named_struct('name', concat('a', (id + 1) % 4)))").alias("calls"))
     for found in (G.callers(many), G.back_references(many.withColumn("expr_used", F.col("calls")))):
         assert found.count() > 40_000 and max(metrics(found, "shuffleRecordsWritten")) < 2000 and max(metrics(found, "numOutputRows")) <= found.count()
+
+
+def test_callers_by_name_send_kinds_not_nodes(spark, monkeypatch):
+    random.seed(9)
+    rows = [("u", f"f{random.randrange(2)}", f"n{random.randrange(30)}", random.choice("abcd"), random.random() < 0.4, [{"name": random.choice("abcdef")}]) for _ in range(40)]
+    schema = "unit string, file_key string, node string, name string, static boolean, calls array<struct<name: string>>"
+    funcs = spark.createDataFrame(rows, schema)  # nodes come in several ways
+    starts = funcs.select(F.col("node").alias("start")).distinct()
+    for depth in (0, 1, 2):
+        want = sorted(tuple(r) for r in G.caller_levels(starts, G.callers(funcs), depth).collect())
+        assert sorted(tuple(r) for r in G.callers_by_name(starts, funcs, depth).collect()) == want and want
+    kept = []
+    monkeypatch.setattr(G, "stored", lambda df, name, _own=G.stored: kept.append(_own(df, name)) or kept[-1])
+    many = spark.range(400).select(F.lit("u").alias("unit"), F.lit("f").alias("file_key"), F.col("id").alias("node"), F.expr("concat('a', id % 4)").alias("name"), F.lit(False).alias("static"), F.expr("array(named_struct('name', concat('a', (id + 1) % 4)))").alias("calls"))
+    found = G.callers_by_name(many.select(F.col("node").alias("start")), many, 2)
+    assert found.count() == 400 * 200 and max(df.count() for df in kept) <= 400 and max(metrics(found, "shuffleRecordsWritten"), default=0) <= 400
