@@ -878,3 +878,17 @@ def test_pipeline(spark, tmp_path):
     for _, stage in C.STAGES:
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
+
+
+def test_pieces_are_kept_for_a_stage_and_go_with_it():
+    import public_tokenizers
+    import regex
+
+    from verdigraph.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    one = bpe.coder(path, 7)
+    one([b"unheardofwords anotherone"], regex.compile(public_tokenizers.PATTERN))
+    assert bpe.coder(path, 7) is one and len(one.ids_of) == 2  # the next task of the stage finds them
+    assert not bpe.coder(path, 8).ids_of
+    bpe._open.clear()

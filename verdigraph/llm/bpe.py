@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries, one database per Python worker.
 
-A text is cut by the pattern of the rank file; each distinct piece is encoded once per task. A piece that is a token is its rank, as the
+A text is cut by the pattern of the rank file; each distinct piece is encoded once while it is kept. A piece that is a token is its rank, as the
 format has it. In the database any other piece is a set of token-position rows. A recursive query joins each position and the next with the
 merge table, takes each piece's minimum rank, and contracts its leftmost pair of that rank; rounds go on until no piece has a pair. Decoding
 aggregates the tokens' bytes in order.
@@ -22,15 +22,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, table
+from .common import release, released, table
 
 ROUNDS = 24
 #: Pieces kept by a task, rows that a query's rounds may make, and pieces decoded at a time.
-KEEP, QUERY_ROWS, DECODED = 80_000, 2_000_000, 40_000
+KEEP, QUERY_ROWS, DECODED = 80_000, 500_000, 20_000
 LONG_PIECE = 64
 #: Longest piece, or window of a piece, that is contracted pair by pair; and the bytes by which windows overlap.
 SHORT_BYTES, OVERLAP = 64, 24
@@ -110,7 +111,10 @@ class DuckBPE:
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM tokens")
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.seen: dict[bytes, list[int]] = {}
+        self.stage: int | None = None
         self.forget()
+        del left, right, made, whole, merges, tokens
+        release()
 
     def ids(self, pieces: list[bytes], whole: bool = False) -> pa.Table:
         """w, pos, id of pieces, which are not empty and of SHORT_BYTES at most, or any length if ``whole``."""
@@ -235,21 +239,26 @@ class DuckBPE:
 _open: dict[str, DuckBPE] = {}
 
 
-def coder(path: str) -> DuckBPE:
-    """The merge table of a file, loaded once by each Python worker. What a task has encoded is forgotten with it."""
+def coder(path: str, stage: int | None = None) -> DuckBPE:
+    """The merge table of a file, loaded once by each Python worker. What was encoded in another stage is forgotten."""
     if path not in _open:
         _open[path] = DuckBPE(path)
+    if _open[path].stage != stage:
+        _open[path].forget()
+        _open[path].stage = stage
     return _open[path]
 
 
-def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str], rows: int = 256) -> DataFrame:
-    """The columns ``keep`` of docs, with ids (little-endian unsigned 32-bit integers) and decoded (bytes)."""
+def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str], rows: int = 256, hold: bool = False) -> DataFrame:
+    """The columns ``keep`` of docs, with ids (little-endian unsigned 32-bit integers) and decoded (bytes). hold: a worker's pieces stay for
+    the stage's next tasks, within the same bound; else they go with the task."""
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         import regex
 
-        bpe, cut = coder(ranks), regex.compile(pattern)
+        task = TaskContext.get()
+        bpe, cut = coder(ranks, task.stageId() if task else None), regex.compile(pattern)
         try:
             for batch in batches:
                 for at in range(0, batch.num_rows, rows):
@@ -258,7 +267,8 @@ def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str
                     columns = [*part.columns[:-1], pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
         finally:
-            bpe.forget()
+            if not hold:
+                bpe.forget()
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(released(run), schema)
 
@@ -267,5 +277,5 @@ def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = encoded(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+    out = encoded(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"], hold=True)
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
