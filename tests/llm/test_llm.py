@@ -162,6 +162,13 @@ def test_brown_against_a_plain_scorer(spark, tmp_path, monkeypatch):
     assert seen[0] == seen[1]
 
 
+def test_many_small_rows_go_in_few_batches():
+    rows = [(i, 7, b"x" * 10, b"", 0, 0) for i in range(1100)]
+    got = list(brown._sent(brown.ANSWER, rows))
+    assert [b.num_rows for b in got] == [512, 512, 76] and [r for b in got for r in b.column(0).to_pylist()] == list(range(1100))
+    assert len(list(brown._sent(brown.ANSWER, [(0, 0, bytes(brown.SENT_BYTES), b"", 0, 0)] * 2))) == 2
+
+
 def test_exchange_finds_classes():
     random.seed(7)
     n = np.zeros((41, 41))

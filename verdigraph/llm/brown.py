@@ -33,15 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, load, new_path, parts, release, released, save, scratch_path, stored, table, text_bytes
+from .common import batch_rows, crc_mod, load, new_path, parts, release, released, save, scratch_path, stored, table, text_bytes
 
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+#: Texts that go to a worker at a time.
+TEXTS = 500
 #: Bounds of the core and of the classes, which are the cube root of the vocabulary.
 CORE, CLASSES, SWEEPS, ROUNDS = 1024, (8, 64), 12, 2
 UNKNOWN = 255
 ADD = 0.1
-#: Rows of a bucket's words whose neighbours are added up at a time.
-BLOCK = 1 << 15
+#: Rows of a bucket's words whose neighbours are added up at a time; pairs of neighbours that are; and bytes and rows sent at a time.
+BLOCK, PAIRS, SENT_BYTES, SENT_ROWS = 1 << 15, 1 << 18, 1 << 20, 512
 
 
 def words(text: bytes) -> list[bytes]:
@@ -73,6 +75,19 @@ def _rows(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
+def _sent(schema: str, rows):
+    """Rows in batches: with many buckets there are very many small ones, and a batch for each costs the JVM more than its bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= SENT_BYTES or len(held) >= SENT_ROWS:
+            yield _rows(schema, *zip(*held))
+            held, size = [], 0
+    if held:
+        yield _rows(schema, *zip(*held))
+
+
 def chunked(docs: DataFrame, folder: str, buckets: int, chunk_bytes: int) -> DataFrame:
     """Reads docs (doc_id, text, train, held_out) and writes the chunks' files. Words are numbered by bucket."""
 
@@ -109,10 +124,13 @@ def chunked(docs: DataFrame, folder: str, buckets: int, chunk_bytes: int) -> Dat
             doc=np.array([d or 0 for d, _, _ in held], np.int64), buckets=(sizes := np.bincount(bucket, minlength=buckets)).astype(np.int32),
         )
         yield _rows(SENT, [chunk], [-1], [path.encode()], [b""], [b""], [int(train.sum())])
+        yield from _sent(SENT, of_buckets(chunk, own, order, n, sizes))
+
+    def of_buckets(chunk, own, order, n, sizes):
         at = 0
         for b in np.flatnonzero(sizes).tolist():
             some = [own[i] for i in order[at : at + sizes[b]].tolist()]
-            yield _rows(SENT, [chunk], [b], [b"".join(some)], [np.fromiter(map(len, some), "<u4", len(some)).tobytes()], [n[at : at + sizes[b]].astype("<u4").tobytes()], [0])
+            yield chunk, b, b"".join(some), np.fromiter(map(len, some), "<u4", len(some)).tobytes(), n[at : at + sizes[b]].astype("<u4").tobytes(), 0
             at += int(sizes[b])
 
     return stored(docs.select("doc_id", "text", "train", "held_out").mapInArrow(released(run), SENT), "chunks")
@@ -164,7 +182,7 @@ def first_answers(buckets: DataFrame, core: dict[int, list[tuple[int, int]]]) ->
                 tags = np.full(len(f["total"]), -1, "<i2")
                 for place, number in core.get(bucket, ()):
                     tags[place] = number
-                yield from _answers(bucket, f, tags, f["total"].astype("<i8"))
+                yield from _sent(ANSWER, _answers(bucket, f, tags, f["total"].astype("<i8")))
 
     return _dealt(buckets.where("kind = 0").select("bucket", "path"), "bucket").mapInArrow(released(run), ANSWER)
 
@@ -173,7 +191,7 @@ def _answers(bucket: int, f: dict, tags: np.ndarray, total: np.ndarray | None =
     at = 0
     for chunk, size in zip(f["chunks"].tolist(), f["sizes"].tolist()):
         own = f["place"][at : at + size]
-        yield _rows(ANSWER, [chunk], [bucket], [tags[own].tobytes()], [b"" if total is None else total[own].tobytes()], [0], [0])
+        yield chunk, bucket, tags[own].tobytes(), b"" if total is None else total[own].tobytes(), 0, 0
         at += size
 
 
@@ -193,9 +211,12 @@ def settled(answers: DataFrame, chunks: DataFrame, folder: str, states: int) ->
         files.setdefault("core", files["tags"])
         f = load(files["chunk"])
         seq = sequence(tags[f["ids"][np.repeat(f["train"], f["lengths"])]], f["lengths"][f["train"]], states)[0]
-        a, b = seq[:-1], seq[1:]
-        both = (a >= 0) & (b >= 0)
-        seen = np.bincount(a[both] * (states + 1) + b[both], minlength=(states + 1) ** 2)
+        seen = np.zeros((states + 1) ** 2, np.int64)
+        for lo in range(0, len(seq) - 1, PAIRS):
+            a, b = seq[lo : lo + PAIRS][: len(seq) - 1 - lo], seq[lo + 1 : lo + 1 + PAIRS]
+            both = (a >= 0) & (b >= 0)
+            codes, times = np.unique(a[both] * (states + 1) + b[both], return_counts=True)
+            seen[codes] += times
         pairs = np.flatnonzero(seen)
         k = len(pairs)
         out = _rows(SETTLED, [0] + [1] * k, [key[0].as_py()] + [None] * k, [json.dumps(files).encode()] + [None] * k, [0, *pairs.tolist()], [0, *seen[pairs].tolist()])
@@ -252,11 +273,14 @@ def neighbours(chunks: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
                 entries = np.bincount(codes // (2 * side), minlength=len(tags)).astype("<u4")
                 upto = np.concatenate([[0], np.cumsum(entries, dtype=np.int64)])
                 codes = (codes % (2 * side)).astype(np.uint8)
-                ends = np.cumsum(f["buckets"], dtype=np.int64)
-                for b in np.flatnonzero(f["buckets"]).tolist():
-                    lo, hi = int(ends[b] - f["buckets"][b]), int(ends[b])
-                    x, y = int(upto[lo]), int(upto[hi])
-                    yield _rows(NEAR, [b], [chunk], [entries[lo:hi].tobytes()], [codes[x:y].tobytes()], [counts[x:y].tobytes()])
+                yield from _sent(NEAR, of_buckets(chunk, f["buckets"], entries, upto, codes, counts))
+
+    def of_buckets(chunk, sizes, entries, upto, codes, counts):
+        ends = np.cumsum(sizes, dtype=np.int64)
+        for b in np.flatnonzero(sizes).tolist():
+            lo, hi = int(ends[b] - sizes[b]), int(ends[b])
+            x, y = int(upto[lo]), int(upto[hi])
+            yield b, chunk, entries[lo:hi].tobytes(), codes[x:y].tobytes(), counts[x:y].tobytes()
 
     return _dealt(chunks, "chunk").mapInArrow(released(run), NEAR)
 
@@ -284,7 +308,7 @@ def moved(near: DataFrame, buckets: DataFrame, core: dict[int, list[tuple[int, i
         known = (tags >= 0) & (f["total"] > 0)
         n, m = np.bincount(tags[known], f["total"][known], classes + 1), np.bincount(tags[known], minlength=classes + 1)
         k = classes + 1
-        out = [_rows(ANSWER, [-1] * k, range(k), [b""] * k, [b""] * k, n.astype(np.int64), m), *_answers(bucket, f, tags)]
+        out = [_rows(ANSWER, [-1] * k, range(k), [b""] * k, [b""] * k, n.astype(np.int64), m), *_sent(ANSWER, _answers(bucket, f, tags))]
         release()
         return pa.Table.from_batches(out)
 
@@ -426,7 +450,8 @@ def score_texts(docs: DataFrame) -> tuple[DataFrame, Model]:
     spark = docs.sparkSession
     folder = scratch_path(spark, "words")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = chunked(docs, folder, max(parts(spark), -(-size // BUCKET_BYTES)), CHUNK_BYTES)
+    with batch_rows(spark, TEXTS):
+        sent = chunked(docs, folder, max(parts(spark), -(-size // BUCKET_BYTES)), CHUNK_BYTES)
     buckets = counted(sent, folder)
     sums = buckets.where("kind = 0").agg(F.sum("n").alias("types")).first()
     ends = sent.where("bucket = -1").agg(F.sum("train")).first()[0] or 0
