@@ -530,6 +530,20 @@ def test_similar_documents_at_the_threshold(spark):
     assert all(got[i * 2 + 1] == i * 2 + 1 for i in range(200, 400))
 
 
+def test_near_fingerprints_are_candidates(spark, monkeypatch):
+    """Without least hashes, the byte-position index alone finds pairs of at most two differing bits; the exact similarity decides."""
+    monkeypatch.setattr(similar, "least", lambda h: np.zeros(0, np.int64))
+    w = [f"n{i}" for i in range(3000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w, "more"])), (3, " ".join(f"o{i}" for i in range(3000)))]
+    fps = [int.from_bytes(similar.wide(np.unique(simhash.hashes(t.encode(), similar.WORDS, similar.SEED)))[:8], "little") for _, t in rows]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 < (fps[0] ^ fps[2]).bit_count()
+    got = {r["doc_id"]: r["component_id"] for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    entries = spark.createDataFrame([(i, bytes([b, *[255] * 63])) for i, b in enumerate((0, 3, 15, 255))], "node long, fp binary")  # 0-3-15 is a chain
+    posted = similar.by_bits(entries).collect()
+    assert sorted(r["node"] for r in posted) == [0, 1, 2] and len({r["key"] for r in posted}) == 1
+
+
 def test_all_pairs_of_a_long_posting(spark, monkeypatch):
     monkeypatch.setattr(similar, "POSTING", 20)
     sets = [(i, np.arange(i * 100, i * 100 + 50, dtype="<u8")) for i in range(90)]

@@ -1,10 +1,11 @@
-"""Near-duplicate documents at a shingle similarity well below that of equal 64-bit fingerprints: wide SimHash, least hashes, exact check.
+"""Near-duplicate documents by SimHash over a byte-position index, by least hashes where that guarantees nothing, and an exact check.
 
-Texts with equal 512-bit fingerprints are one entry. Two texts of Jaccard similarity 0.8 differ in some 77 of these bits, so neither equal
-bytes nor a limit of bits tells them from pairs at 0.75. Candidates are therefore found by their least hashes: a posting is the least values
-of the shingles under ``ROWS`` hash functions, and there are ``BANDS`` of them; a pair at 0.8 shares none with chance
-(1 - 0.8 ** 5) ** 24 = 0.00007, and pairs of unrelated texts hardly ever share one, however many there are. Each candidate is decided by the
-exact similarity of its sets of five-word shingles (64-bit hashes).
+Texts with equal 512-bit fingerprints are one entry. The first 64 of these bits are the SimHash of the text's set of shingles, and those go through
+the index of ``simhash``: entries that chains of at most ``BITS`` differing bits connect are a posting. Two texts of Jaccard similarity 0.8,
+though, differ in some ten of 64 bits (77 of 512), where no count of equal bytes is guaranteed, and no limit of bits tells them from pairs at
+0.75. So candidates are also found by their least hashes: a posting is the least values of the shingles under ``ROWS`` hash functions, and there
+are ``BANDS`` of them; a pair at 0.8 shares none with chance (1 - 0.8 ** 5) ** 24 = 0.00007, and pairs of unrelated texts hardly ever share
+one, however many there are. Each candidate of either kind is decided by the exact similarity of its sets of five-word shingles (64-bit hashes).
 
 First each entry of a posting is compared with the posting's first one, which settles most groups with as many pairs as entries. Then every
 pair of entries is compared in each posting whose entries are not yet of one component. One with more than ``POSTING`` entries is dealt into
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import hot_join, released, stored, text_bytes
 from .components import components, forest
 from .simhash import SEED, hashes
+from .simhash import links as near_bits
 
 WORDS = 5
 LANES = 8
@@ -33,6 +35,8 @@ BYTES = 8 * LANES
 #: The least similarity of a link, as a fraction.
 SHARED, OF = 4, 5
 BANDS, ROWS = 24, 5
+#: Differing bits of a link of 64-bit fingerprints.
+BITS = 2
 POSTING = 512
 DEALT = 4096
 _RNG = np.random.default_rng(SEED)
@@ -143,6 +147,17 @@ def links(posted: DataFrame, sets: Callable[[DataFrame], DataFrame], ties: DataF
     return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
 
 
+def by_bits(entries: DataFrame) -> DataFrame:
+    """entries: node, fp (wide). key, node: postings of entries whose 64-bit fingerprints are connected by at most BITS differing bits; none
+    of a single entry."""
+    marked = entries.select("node", F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long").alias("bits"))
+    classes = marked.groupBy("bits").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+    near = components(near_bits(classes.select(F.col("bits").alias("fp"), F.col("first").alias("node")), BITS))
+    told = classes.join(near, F.col("first") == F.col("node"), "left").select("bits", "n", F.coalesce("component", "first").alias("first"))
+    shared = told.groupBy("first").agg(F.sum("n").alias("all")).where("all > 1").select("first")
+    return hot_join(marked, told.join(shared, "first"), "bits", marked.count()).select(F.xxhash64(F.lit("bits"), "first").alias("key"), "node")
+
+
 def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, component_id, n (its rows) of rows that have an identifier."""
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
@@ -152,7 +167,7 @@ def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     # rows of one identifier with different texts are one document
     many = marked.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
     tied = marked.select("doc_id", "fp").join(many, "doc_id").distinct().join(entries, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    posted = stored(own.select(F.explode("keys").alias("key"), "node").distinct(), "postings")
+    posted = stored(own.select(F.explode("keys").alias("key"), "node").distinct().unionByName(by_bits(entries)), "postings")
 
     def sets(nodes: DataFrame) -> DataFrame:
         """Only texts that share a posting are read again for their hashes; these are as large as the texts."""
