@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.llm import bpe, linededup, mixing, similar, toxicity
-from verdigraph.llm.common import WORD, stored, table
+from verdigraph.llm.common import BATCH, BATCH_DEFAULT, WORD, stored, table
 
 #: Rows that go to a Python worker at a time. Whole texts are many bytes a row, and both sides hold a batch.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 500
 #: Columns of documents.
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,8 +21,8 @@ def whole_rows(stage):
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if int(spark.conf.get(BATCH)) == 10_000:  # the default; a session's own number stays
-            spark.conf.set(BATCH, 2_000)
+        if int(spark.conf.get(BATCH)) == BATCH_DEFAULT:  # a session's own number stays
+            spark.conf.set(BATCH, ROWS)
         aside = {c: f"further column {i}" for i, c in enumerate(docs.columns) if c not in OWN}
         out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
         return out.select([out[aside.get(c, c)].alias(c) for c in docs.columns])
@@ -64,8 +64,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
     import public_tokenizers
 
-    out = bpe.encoded(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "source", "text"])
-    return out.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
+    out = bpe.encoded(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "source"], compared=True)
+    return out.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

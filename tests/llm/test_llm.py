@@ -675,6 +675,12 @@ def test_bpe(spark, tmp_path):
     assert bpe.op8_byte_bpe(spark, saved(spark, tmp_path / "e", documents=odd(spark, []))).count() == 0
 
 
+def test_texts_are_compared_in_the_worker(spark):
+    docs = odd(spark)
+    out = bpe.encoded(docs, "text", P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ["doc_id"], compared=True)
+    assert out.columns == ["doc_id", "ids", "round_trip"] and all(r["round_trip"] for r in out.collect()) and out.count() == len(ODD)
+
+
 def test_bpe_of_long_pieces():
     """Against tiktoken; the time grows with the length, not with its square."""
     import time

@@ -249,10 +249,12 @@ def coder(path: str, stage: int | None = None) -> DuckBPE:
     return _open[path]
 
 
-def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str], rows: int = 256, hold: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str], rows: int = 256, hold: bool = False, compared: bool = False) -> DataFrame:
     """The columns ``keep`` of docs, with ids (little-endian unsigned 32-bit integers) and decoded (bytes). hold: a worker's pieces stay for
-    the stage's next tasks, within the same bound; else they go with the task."""
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    the stage's next tasks, within the same bound; else they go with the task. compared: in place of decoded, round_trip, which says whether
+    that is the text; neither is sent back then."""
+    told = T.StructField("round_trip", T.BooleanType()) if compared else T.StructField("decoded", T.BinaryType())
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.BinaryType()), told])
 
     def run(batches):
         import regex
@@ -263,9 +265,13 @@ def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str
             for batch in batches:
                 for at in range(0, batch.num_rows, rows):
                     part = batch.slice(at, rows)
-                    got = bpe([x or b"" for x in part.column(part.num_columns - 1).cast(pa.large_binary()).to_pylist()], cut)
-                    columns = [*part.columns[:-1], pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
+                    texts = [x or b"" for x in part.column(part.num_columns - 1).cast(pa.large_binary()).to_pylist()]
+                    got = bpe(texts, cut)
+                    back = pa.array([b == t for (_, b), t in zip(got, texts)], pa.bool_()) if compared else pa.array([b for _, b in got], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([a for a, _ in got], pa.binary()), back], [*keep, "ids", told.name])
+                    del texts, got, back
+                    if not hold:  # other stages' memory is beside this one's
+                        release(cycles=False)
         finally:
             if not hold:
                 bpe.forget()
