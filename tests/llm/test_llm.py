@@ -681,6 +681,19 @@ def test_texts_are_compared_in_the_worker(spark):
     assert out.columns == ["doc_id", "ids", "round_trip"] and all(r["round_trip"] for r in out.collect()) and out.count() == len(ODD)
 
 
+def test_a_closed_coder_is_loaded_again():
+    import regex
+
+    path, cut = P.path("byte_bpe_multi_50k.tiktoken"), regex.compile(P.PATTERN)
+    one = bpe.coder(path)
+    want = one([b"some words of it"], cut)
+    bpe.close(path)
+    bpe.close(path)  # not open
+    assert path not in bpe._open and not one.ids_of
+    assert bpe.coder(path) is not one and bpe.coder(path)([b"some words of it"], cut) == want
+    bpe.close(path)
+
+
 def test_bpe_of_long_pieces():
     """Against tiktoken; the time grows with the length, not with its square."""
     import time

@@ -249,9 +249,16 @@ def coder(path: str, stage: int | None = None) -> DuckBPE:
     return _open[path]
 
 
+def close(path: str) -> None:
+    """Drops a worker's merge table and what its database holds: an idle worker would keep them beside other stages."""
+    if bpe := _open.pop(path, None):
+        bpe.forget()
+        bpe.db.close()
+
+
 def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str], rows: int = 256, hold: bool = False, compared: bool = False) -> DataFrame:
     """The columns ``keep`` of docs, with ids (little-endian unsigned 32-bit integers) and decoded (bytes). hold: a worker's pieces stay for
-    the stage's next tasks, within the same bound; else they go with the task. compared: in place of decoded, round_trip, which says whether
+    the stage's next tasks, within the same bound; else they and the merge table go with the task. compared: in place of decoded, round_trip, which says whether
     that is the text; neither is sent back then."""
     told = T.StructField("round_trip", T.BooleanType()) if compared else T.StructField("decoded", T.BinaryType())
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.BinaryType()), told])
@@ -274,7 +281,7 @@ def encoded(docs: DataFrame, text: str, ranks: str, pattern: str, keep: list[str
                         release(cycles=False)
         finally:
             if not hold:
-                bpe.forget()
+                close(ranks)
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(released(run), schema)
 
