@@ -384,6 +384,54 @@ def test_hnsw(spark, tmp_path, monkeypatch):
     assert hnsw.op4_hnsw_near_dedup(spark, saved(spark, tmp_path / "e", embeddings=df.limit(0))).count() == 0
 
 
+def test_hnsw_meets_few_cells(spark, monkeypatch):
+    """Every vector meets few others, not all: what is compared doesn't grow with the square of the input. Dense and loose groups, some larger
+    than a block, repeats and pairs near the limit come out as by comparing all."""
+    monkeypatch.setattr(hnsw, "CELL_ROWS", 32)
+    monkeypatch.setattr(hnsw, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(2200, 32))
+    dense, loose = np.repeat(base[:1], 450, 0) + rng.normal(size=(450, 32)) * 0.02, np.repeat(base[1:2], 250, 0) + rng.normal(size=(250, 32)) * 0.25
+    v = np.concatenate([base, dense, loose, base[100:300] + rng.normal(size=(200, 32)) * 0.4, base[300:400], np.repeat(base[2:3], 150, 0)]).astype(np.float32)
+    x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    comp = brute_components([(int(a), int(b)) for a, b in zip(*np.nonzero(near))], list(range(len(v))))
+    met, compared = [], hnsw._compared
+
+    def spy(routed, paths, sizes, width, *more):
+        cells = np.array([r["cells"][:width] for r in routed.select("cells").collect()])
+        own, all_ = np.bincount(cells[:, 0], minlength=cells.max() + 1), np.bincount(cells[cells >= 0])
+        met.append(int((own * all_).sum()))
+        return compared(routed, paths, sizes, width, *more)
+
+    monkeypatch.setattr(hnsw, "_compared", spy)
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(df, "vec_id", "embedding").collect()}
+    assert len(got) == len(v) and all((got[i]["n_links"], got[i]["component_id"]) == (near[i].sum(), comp[i]) for i in range(len(v)))
+    assert met[0] < len(v) ** 2 / 4
+    monkeypatch.setattr(hnsw, "AUDIT_ROWS", (300, 600))  # a share of the rows tells how many cells are needed
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(df, "vec_id", "embedding").collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(v))])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.98 * near.sum() and got[0]["audit_recall"] >= 0.99
+
+
+def test_hnsw_with_one_cell(spark, monkeypatch):
+    """Where no number of cells finds enough, all are compared, in blocks."""
+    monkeypatch.setattr(hnsw, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(hnsw, "recalls", lambda told: np.zeros(hnsw.CELLS))
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 8))
+    v = np.concatenate([base, np.repeat(base[:1], 200, 0) + rng.normal(size=(200, 8)) * 0.01])
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    comp = brute_components([(int(a), int(b)) for a, b in zip(*np.nonzero(near))], list(range(len(v))))
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(df, "vec_id", "embedding").collect()}
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (near[i].sum(), comp[i]) for i in range(len(v)))
+
+
 def test_graph_recall():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 24)).astype(np.float32)

@@ -1,11 +1,12 @@
-"""Embedding near-dedup: a hierarchical navigable small-world graph for each shard, every shard queried with every vector.
+"""Embedding near-dedup: a hierarchical navigable small-world graph over pivots, and under each pivot the vectors that hang from it.
 
-Vectors are dealt to shards by a hash of their identifier. A task builds a shard's graph and writes it to a file of the shared folder; another
-reads those of a pair of shards and queries each one's graph with the other's vectors. Searches go in lockstep: all queries of a block
-move their beams together. A beam is widened until an audit (exact answers for some queries of the task) finds at least ``RECALL`` of the
-links of queries that the graph answers, over ``LINKS`` such links or all queries; a query whose whole beam is near enough, so that more may
-follow, is answered exactly, block by block; so are all where the beam would pass one ``TURN``-th of the shard. Links that either side found are verified in double precision and counted; only counts and a
-spanning forest leave the task, never all pairs of a dense group. Components come from the forests, and the audits are summed up.
+Pivots are a bounded sample of the vectors, none linked with another, so that a dense group has one of them. A search of their graph gives each
+vector its nearest ones: it hangs in the first one's cell and visits the next ones'. What meets in a cell is compared, by 32-bit products and in
+double precision where these are too near to the limit. Vectors so near to a pivot that any two of them are linked are counted, not compared. An
+audit compares a sample of the vectors with all others, before any cell is, and tells how many cells each must go to for ``RECALL`` of its links,
+and of all; all of them in a table of ``AUDIT_ROWS`` or less. Where ``CELLS`` cells are too few, pivots are made fewer, to a single one at last,
+where all is compared with all. A cell of many vectors is dealt into blocks, in files, of which tasks read each two by path. Only counts and a
+spanning forest leave a task, never all pairs of a dense group. Components come from the forests.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have no links and are their own component;
 vectors of different lengths have none with each other; rows with one identifier are one vector (the greatest of them) and get equal
@@ -24,8 +25,16 @@ from .components import components, forest
 
 COSINE = 0.9
 RECALL, AUDIT, LINKS = 0.99, 64, 500
-#: At least so many shards, and at most so many bytes and rows in each.
-SHARDS, SHARD_BYTES, SHARD_ROWS = 6, 32 << 20, 1 << 16
+#: At least so many cells, and rows that a cell has on average where they are more.
+SHARDS, CELL_ROWS, WHOLE = 6, 2048, 1 << 62
+#: At most so many pivots, and so many bytes of them; cells that a vector goes to; the beam that finds them.
+PIVOTS, PIVOT_BYTES, CELLS, PIVOT_BEAM = 1 << 14, 8 << 20, 8, 24
+#: Vectors go to more cells than ``RECALL`` needs, up to ``FEW``, until the audit finds this part of the links.
+SURE, FEW = 0.999, 4
+#: Vectors that the audit asks, and those it asks where these hold few links.
+AUDIT_ROWS = (1024, 4096)
+#: Rows and bytes of a block; a cell with more is dealt into several.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 14, 8 << 20
 M, BUILD_BEAM, BEAM = 16, 64, 48
 TOGETHER = 4
 QUERIES = 512
@@ -227,112 +236,405 @@ def found_links(graph: Graph, x: np.ndarray, q: np.ndarray, q32: np.ndarray, cos
     return np.zeros(0, int), np.zeros(0, int), np.arange(len(q)), 0, 0
 
 
-def linked(one: tuple, two: tuple | None, cosine: float):
-    """one, two: (vectors, graph) of two shards (two is None: a shard with itself). Counts of links for the rows of both (of one alone), the
-    root of each row in a forest over all rows, and the audits' true and missed links."""
-    x, g = one
-    y, h = two or one
-    n, m = len(x), len(y)
-    shift = n if two else 0
-    counts = np.zeros(n + (m if two else 0), np.int64)
-    root = np.arange(len(counts))
-    a1, b1, full_x, links, missed = found_links(h, y, x, g.x, cosine, not two)
-    a2, b2, full_y = np.zeros(0, int), np.zeros(0, int), full_x
-    if two:
-        b2, a2, full_y, more, lost = found_links(g, x, y, h.x, cosine)
-        links, missed = links + more, missed + lost
-    exact_x, exact_y = np.zeros(n, bool), np.zeros(m, bool)
-    exact_x[full_x], exact_y[full_y] = True, True
-    for q, rows, whole, own, other, mine in ((x, full_x, y, 0, shift, exact_y), *([(y, full_y, x, shift, 0, exact_x)] if two else [])):
-        for i in range(0, len(rows), 256):
-            r, c = exact(q[rows[i : i + 256]], whole, cosine)
-            r = rows[i : i + 256][r]
-            if not two:
-                r, c = r[r != c], c[r != c]
-            np.add.at(counts, own + r, 1)
-            back = ~mine[c]
-            np.add.at(counts, other + c[back], 1)
-            root = forest(np.concatenate([np.arange(len(root)), own + r]), np.concatenate([root, other + c]), len(root))
-    a, b = np.concatenate([a1, a2]), np.concatenate([b1, b2])
-    listed = ~exact_x[a] & ~exact_y[b]
-    a, b = a[listed], b[listed] + shift
-    if not two:
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        a, b = a[a != b], b[a != b]
-    if len(a):
-        a, b = np.divmod(np.unique(a * len(counts) + b), len(counts))
-        np.add.at(counts, a, 1)
-        np.add.at(counts, b, 1)
-        root = forest(np.concatenate([np.arange(len(root)), a]), np.concatenate([root, b]), len(root))
-    return counts, root, links, missed
-
-
-def write_shard(path: str, ids: np.ndarray, x: np.ndarray) -> None:
-    """Identifiers, double unit vectors, and their graph."""
+class Rows:
+    """Vectors that meet in a cell: identifiers, unit rows in double and 32 bit, and the cells that each goes to, its own first. ``core``: so near to
+    the cell's pivot that any two of them are linked; ``halo``: so near that a link with one of the core is possible."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, cells: np.ndarray, pivot: np.ndarray, cosine: float) -> None:
+        self.ids, self.x, self.cells = ids, x, cells
+        self.x32 = x.astype(np.float32)
+        half, sim = np.arccos(cosine) / 2, x @ pivot
+        self.core = (sim >= np.cos(half) + 1e-9)
+        self.halo = sim >= np.cos(min(3 * half, np.pi)) - 1e-9
+
+
+def near_pairs(one: Rows, some: np.ndarray, two: Rows, others: np.ndarray, cosine: float):
+    """Links between rows ``some`` of one and ``others`` of two, block by block: 32-bit products, those too near to the limit again in double."""
+    band = np.float32(1e-5 + 4e-7 * one.x.shape[1])
+    y = two.x32[others]
+    for i in range(0, len(some), 1024):
+        x = one.x32[some[i : i + 1024]]
+        for j in range(0, len(others), 4096):
+            sims = x @ y[j : j + 4096].T
+            r, c = np.divmod(np.flatnonzero(sims >= cosine - band), sims.shape[1])
+            if len(r):
+                doubt = np.flatnonzero(sims[r, c] < cosine + band)
+                r, c = some[i + r], others[j + c]
+                out = np.zeros(len(r), bool)
+                for k in range(0, len(doubt), 100_000):
+                    d = doubt[k : k + 100_000]
+                    out[d] = np.einsum("kd,kd->k", one.x[r[d]], two.x[c[d]]) < cosine
+                yield r[~out], c[~out]
+
+
+class Found:
+    """Counts of links and a forest over the rows of a cell, of which ``two`` come after ``one``."""
+
+    def __init__(self, one: Rows, two: Rows | None = None) -> None:
+        self.ids = one.ids if two is None else np.concatenate([one.ids, two.ids])
+        self.counts, self.root = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids))
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.counts += np.bincount(a, minlength=len(self.ids)) + np.bincount(b, minlength=len(self.ids))
+            self.root = forest(np.concatenate([np.arange(len(self.root)), a]), np.concatenate([self.root, b]), len(self.root))
+
+    def batch(self) -> pa.RecordBatch:
+        some = self.counts > 0
+        return _links(self.ids[some], self.ids[self.root[some]], self.counts[some])
+
+
+def _links(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def meet_own(rows: Rows, cosine: float) -> Found:
+    """Links among rows of one cell or block, but those of its core, which ``core_links`` counts."""
+    found = Found(rows)
+    rest, core = np.flatnonzero(~rows.core), np.flatnonzero(rows.core)
+    for i in range(0, len(rest), 4096):  # each pair once: a block meets itself and what comes after it
+        for a, b in near_pairs(rows, rest[i : i + 4096], rows, rest[i:], cosine):
+            found.add(a[a < b], b[a < b])
+    for a, b in near_pairs(rows, rest[rows.halo[rest]], rows, core, cosine):
+        found.add(a, b)
+    return found
+
+
+def core_links(rows: Rows, total: int, least: int) -> pa.RecordBatch:
+    """The core's links: each with all others of the cell's core, which are ``total`` rows with ``least`` the smallest of them."""
+    ids = rows.ids[rows.core] if total > 1 else rows.ids[:0]
+    return _links(ids, np.full(len(ids), least), np.full(len(ids), total - 1))
+
+
+def meet_two(one: Rows, two: Rows, cosine: float, cell: int | None = None) -> Found:
+    """Links between two blocks of a cell, but those between their cores. cell: two are visitors of it, from cells of their own; where the other one of
+    a link visits that cell in turn, the link counts in the lower of the two."""
+    found, m = Found(one, two), len(one.ids)
+    core, rest = np.flatnonzero(one.core), np.flatnonzero(~one.core)
+    other = np.arange(len(two.ids)) if cell is not None else np.flatnonzero(~two.core)
+    meets = [(rest, other), (core, other[two.halo[other]])]
+    if cell is None:
+        meets.append((rest[one.halo[rest]], np.flatnonzero(two.core)))
+    for left, right in meets:
+        if len(left) and len(right):
+            for b, a in near_pairs(two, right, one, left, cosine):
+                if cell is not None:
+                    home = two.cells[b, 0]
+                    once = (home > cell) | ~(one.cells[a] == home[:, None]).any(axis=1)
+                    a, b = a[once], b[once]
+                found.add(a, b + m)
+    return found
+
+
+def unit(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # large or tiny components neither overflow nor vanish
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x
+
+
+def pack(x: np.ndarray) -> pa.Array:
+    """Rows as binary values."""
+    x = np.ascontiguousarray(x)
+    step = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * step).astype(np.int32)), pa.py_buffer(x)])
+
+
+def unpack(column, dtype, width: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        return np.concatenate([unpack(c, dtype, width) for c in column.chunks] or [np.zeros((0, width), dtype)])
+    wide = pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros((0, width), dtype)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(dtype).reshape(len(column), width)
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.int32()))
+
+
+def unlist(column, width: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        return np.concatenate([unlist(c, width) for c in column.chunks] or [np.zeros((0, width), np.int32)])
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, width)
+
+
+def each_length(batch: pa.RecordBatch):
+    """For each length of vectors in a batch: the length, and its rows as a batch."""
+    dims = batch.column("dim").to_numpy(zero_copy_only=False)
+    for d in np.unique(dims):
+        yield int(d), batch if (dims == d).all() else batch.filter(pa.array(dims == d))
+
+
+def thinned(x: np.ndarray, most: int, cosine: float) -> np.ndarray:
+    """Positions of at most ``most`` rows, in order, none linked with one before it: a dense group has one of them."""
+    kept = np.zeros(0, int)
+    for i in range(0, len(x), 512):
+        new = np.arange(i, min(i + 512, len(x)))
+        if len(kept):
+            new = new[(x[new] @ x[kept].T).max(axis=1) < cosine]
+        near = x[new] @ x[new].T >= cosine
+        fresh = np.ones(len(new), bool)
+        for k in range(len(new)):
+            fresh[k] = not (near[k, :k] & fresh[:k]).any()
+        kept = np.concatenate([kept, new[fresh]])
+        if len(kept) >= most:
+            break
+    return kept[:most]
+
+
+def nearest(pivots: Graph, x: np.ndarray, width: int) -> np.ndarray:
+    """For each row, the ``width`` nearest pivots that a search of their graph finds, nearest first; -1 for none."""
+    out = np.full((len(x), width), -1, np.int32)
+    if len(pivots.x) == 1:
+        out[:, 0] = 0
+        return out
+    beam = min(len(pivots.x), max(PIVOT_BEAM, 2 * width))
+    for i in range(0, len(x), 4096):
+        ids = pivots.search(x[i : i + 4096].astype(np.float32), beam)[0][:, :width]
+        out[i : i + 4096, : ids.shape[1]] = ids
+    return out
+
+
+def write_pivots(path: str, x: np.ndarray) -> None:
+    """Double unit vectors, and their graph."""
     layers = {f"{name}{i}": a for i, pair in enumerate(Graph(x.astype(np.float32)).layers) for name, a in zip(("own", "near"), pair)}
-    save(path, ids=ids, x=x, **layers)
+    save(path, x=x, size=np.array([len(x)]), **layers)
 
 
-def read_shard(path: str) -> tuple:
+def read_pivots(path: str) -> tuple[np.ndarray, Graph]:
     f = load(path)
-    x = f["x"].reshape(len(f["ids"]), -1)
+    x = f["x"].reshape(int(f["size"][0]), -1)
     layers, i = [], 0
     while f"own{i}" in f:
         layers.append((f[f"own{i}"], f[f"near{i}"].reshape(len(f[f"own{i}"]), -1)))
         i += 1
-    return f["ids"], (x, Graph(x.astype(np.float32), layers))
+    return x, Graph(x.astype(np.float32), layers)
 
 
-def near_duplicates(vectors: DataFrame, key: str, vector: str, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id, kept, and the audits' recall (of the links that graphs answer; null where these are none): a row for
-    each row of vectors."""
-    spark = vectors.sparkSession
-    folder = scratch_path(spark, "shards")
-    named = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    fine = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
-    each = named.where(F.col("vec_id").isNotNull() & fine).groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))
-    sizes = {r["dim"]: r["n"] for r in each.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
-    shards = {d: max(SHARDS, -(-n * 8 * d // SHARD_BYTES), -(-n // SHARD_ROWS)) for d, n in sizes.items()}
-    if not shards:
-        none = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
-        return _told(named, none, None)
-    of = F.create_map(*[F.lit(x) for d, s in shards.items() for x in (d, s)])
-    dealt = each.withColumn("shard", F.pmod(F.xxhash64("vec_id"), of[F.col("dim")]).cast("int"))
+def _part(column: str, share):
+    """Whether a value's hash is in this share of all."""
+    return F.pmod(F.xxhash64(column, F.lit(29)), F.lit(1 << 40)) < (share * (1 << 40)).cast("long")
+
+
+def _route(each: DataFrame, sizes: dict[int, int], rows: int, dtype, cosine: float) -> tuple[DataFrame, dict[int, str]]:
+    """Every vector with its nearest cells, stored: vec_id, dim, v, cells; and the file of pivots for each length. rows: a cell has about so many."""
+    spark = each.sparkSession
+    folder, n = scratch_path(spark, "pivots"), parts(spark)
+    most = {d: max(1, min(max(SHARDS, -(-n_ // rows)) if rows < WHOLE else 1, PIVOTS, PIVOT_BYTES // (4 * d))) for d, n_ in sizes.items()}
+    share = F.create_map(*[F.lit(x) for d, n_ in sizes.items() for x in (d, min(1.0, (2.0 * most[d] + 64) / n_))])
 
     def build(key, group):
+        d = key[0].as_py()
         ids = group.column("vec_id").to_numpy()
         order = np.argsort(ids)
-        x = np.stack(group.column("v").to_numpy(zero_copy_only=False))[order]
-        x = x / np.abs(x).max(axis=1, keepdims=True)  # large or tiny components neither overflow nor vanish
-        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-        path = new_path(folder, "shard")
-        write_shard(path, ids[order].astype("<i8"), x)
+        order = order[np.random.default_rng(len(ids)).permutation(len(ids))]
+        x = unit(unpack(group.column("v"), dtype, d)[order])
+        path = new_path(folder, "pivots")
+        write_pivots(path, x[thinned(x.astype(np.float32), most[d], cosine)])
         release()
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "path": [path]})
+        return pa.table({"dim": pa.array([d], pa.int32()), "path": [path]})
+
+    sample = each.where(_part("vec_id", share[F.col("dim")])).mapInArrow(released(_packed(dtype)), "vec_id long, dim int, v binary")
+    paths = {r["dim"]: r["path"] for r in sample.repartition(min(n, len(sizes)), "dim").groupBy("dim").applyInArrow(build, "dim int, path string").collect()}
+    if lost := sizes.keys() - paths.keys():  # the share held none of a length: all of it is the sample
+        few = each.where(F.col("dim").isin(list(lost))).mapInArrow(released(_packed(dtype)), "vec_id long, dim int, v binary")
+        paths |= {r["dim"]: r["path"] for r in few.groupBy("dim").applyInArrow(build, "dim int, path string").collect()}
 
-    n = parts(spark)
-    graphs = stored(dealt.repartition(n, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, path string"), "graphs")
-    # a row for each pair of shards; tasks read the two graphs from their files, so no vector is shuffled again
-    one, two = (graphs.select("dim", F.col("shard").alias(s), F.col("path").alias(f"{s}_path")) for s in "ij")
-    met = one.join(two, "dim").where("i <= j").repartition(n, "dim", "i", "j")
+    def route(batches):
+        graphs: dict = {}
+        for batch in _packed(dtype)(batches):
+            for d, b in each_length(batch):
+                if d not in graphs:
+                    graphs[d] = read_pivots(paths[d])[1]
+                cells = nearest(graphs[d], unit(unpack(b.column("v"), dtype, d)), CELLS)
+                yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id"), "dim": b.column("dim"), "v": b.column("v"), "cells": lists(cells)})
 
-    def compare(batches):
+    return stored(each.mapInArrow(released(route), "vec_id long, dim int, v binary, cells array<int>"), "routed"), paths
+
+
+def _packed(dtype):
+    def run(batches):
         for batch in batches:
-            for _, i, path, j, other in zip(*(c.to_pylist() for c in batch.columns)):
-                both = [read_shard(p) for p in ([path] if i == j else [path, other])]
-                counts, root, links, missed = linked(both[0][1], both[1][1] if i != j else None, cosine)
-                ids = np.concatenate([b[0] for b in both])
-                some = counts > 0
-                yield pa.RecordBatch.from_pydict({"a": ids[some], "b": ids[root[some]], "n": counts[some], "missed": np.zeros(some.sum(), np.int64)})
-                yield pa.RecordBatch.from_pydict({"a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64()), "n": [links], "missed": [missed]})
-
-    found = stored(met.select("dim", "i", "i_path", "j", "j_path").mapInArrow(released(compare), "a long, b long, n long, missed long"), "links")
-    audit = found.where("a IS NULL").agg(F.sum("n").alias("n"), F.sum("missed").alias("missed")).first()
-    found = found.where("a IS NOT NULL")
+            for d, b in each_length(batch):
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(dtype)
+                yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id"), "dim": b.column("dim").cast(pa.int32()), "v": pack(x)})
+
+    return run
+
+
+def _audited(routed: DataFrame, total: int, rows: int, dtype, cosine: float) -> np.ndarray:
+    """For each of about ``rows`` vectors that has links: how many links are found by the 1, 2, ... CELLS nearest cells first, and by none. The links
+    are found by comparing with all vectors."""
+    spark = routed.sparkSession
+    folder = scratch_path(spark, "audits")
+
+    def gather(batches):
+        for b in (b for batch in batches for b in each_length(batch)):
+            path = new_path(folder, "audit")
+            save(path, ids=b[1].column("vec_id").to_numpy(zero_copy_only=False), x=unpack(b[1].column("v"), dtype, b[0]), cells=unlist(b[1].column("cells"), CELLS))
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([b[0]], pa.int32()), "path": [path]})
+
+    some = routed if rows >= total else routed.where(_part("vec_id", F.lit(rows / total)))
+    paths = [(r["dim"], r["path"]) for r in some.coalesce(1).mapInArrow(released(gather), "dim int, path string").collect()]
+
+    def count(batches):
+        asked: dict = {}
+        for d, path in paths:
+            f = load(path)
+            asked.setdefault(d, []).append((f["ids"], unit(f["x"].reshape(-1, d)), f["cells"].reshape(-1, CELLS)))
+        asked = {d: Rows(*(np.concatenate(x) for x in zip(*fs)), np.zeros(d), cosine) for d, fs in asked.items()}
+        told = {d: np.zeros((len(q.ids), CELLS + 1), np.int64) for d, q in asked.items()}
+        for d, b in (x for batch in batches for x in each_length(batch)):
+            if d not in asked:
+                continue
+            q = asked[d]
+            rows = Rows(b.column("vec_id").to_numpy(zero_copy_only=False), unit(unpack(b.column("v"), dtype, d)), unlist(b.column("cells"), CELLS), np.zeros(d), cosine)
+            for c, r in near_pairs(rows, np.arange(len(rows.ids)), q, np.arange(len(q.ids)), cosine):
+                other = rows.ids[c] != q.ids[r]
+                r, c = r[other], c[other]
+                at = np.full(len(r), CELLS)
+                for k in range(CELLS - 1, -1, -1):
+                    at[(q.cells[r, k] == rows.cells[c, 0]) | (rows.cells[c, k] == q.cells[r, 0])] = k
+                np.add.at(told[d], (r, at), 1)
+        for d, n in told.items():
+            r, at = np.nonzero(n)
+            yield pa.RecordBatch.from_pydict({"q": pa.array(asked[d].ids[r], pa.int64()), "k": pa.array(at, pa.int32()), "n": pa.array(n[r, at], pa.int64())})
+
+    if not paths:
+        return np.zeros((0, CELLS + 1), np.int64)
+    got = routed.mapInArrow(released(count), "q long, k int, n long").groupBy("q", "k").agg(F.sum("n").alias("n")).collect()
+    at = {q: i for i, q in enumerate(sorted({r["q"] for r in got}))}
+    out = np.zeros((len(at), CELLS + 1), np.int64)
+    for r in got:
+        out[at[r["q"]], r["k"]] = r["n"]
+    return out
+
+
+def recalls(told: np.ndarray) -> np.ndarray:
+    """The audit's recall by each number of cells: of all links, or as the mean of the vectors that have some, whichever is less."""
+    part = np.cumsum(told[:, :-1], axis=1)
+    return np.minimum(part.sum(axis=0) / told.sum(), (part / told.sum(axis=1, keepdims=True)).mean(axis=0))
+
+
+def near_duplicates(vectors: DataFrame, key: str, vector: str, cosine: float = COSINE) -> DataFrame:
+    """vec_id, n_links, component_id, kept, and the audit's recall (null where it holds no link): a row for each row of vectors."""
+    spark = vectors.sparkSession
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"
+    dtype = np.dtype(np.float32 if single else np.float64)
+    named = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"))
+    fine = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
+    each = named.where(F.col("vec_id").isNotNull() & fine)
+    if each.groupBy("vec_id").count().where("count > 1").limit(1).count():  # else no vector is shuffled for it
+        each = stored(each.groupBy("vec_id").agg(F.max("v").alias("v")), "vectors")
+    each = each.withColumn("dim", F.size("v"))
+    sizes = {r["dim"]: r["n"] for r in each.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
+    if not sizes:
+        return _told(named, spark.createDataFrame([], "vec_id long, n_links long, component_id long"), None)
+    total, rows, recall = sum(sizes.values()), CELL_ROWS, None
+    while True:
+        routed, paths = _route(each, sizes, rows, dtype, cosine)
+        if rows >= WHOLE:  # a single cell for each length: all are compared
+            width, recall = 1, 1.0
+            break
+        told = _audited(routed, total, AUDIT_ROWS[0], dtype, cosine)
+        if (told.sum() < LINKS or len(told) < AUDIT) and total > AUDIT_ROWS[0]:
+            told = _audited(routed, total, AUDIT_ROWS[1], dtype, cosine)
+        every = total <= AUDIT_ROWS[1]
+        if not len(told):
+            width = 1 if every else CELLS
+            break
+        found = recalls(told)
+        good = np.flatnonzero(found >= (1.0 if every else RECALL))
+        if len(good):
+            sure = np.flatnonzero(found >= SURE)
+            width = 1 + max(int(good[0]), min(int(sure[0]) if len(sure) else CELLS, FEW - 1) if not every else 0)
+            if not every and (told.sum() < LINKS or len(told) < AUDIT):
+                width = CELLS
+            recall = float(found[width - 1])
+            break
+        rows = rows * 8 if max(sizes.values()) > rows * 8 * SHARDS else WHOLE
+    found = _compared(routed, paths, sizes, width, dtype, cosine)
     labels = components(found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     told = counts.join(labels, F.col("vec_id") == F.col("node"), "left").select("vec_id", "n_links", F.col("component").alias("component_id"))
-    return _told(named, told, 1 - audit["missed"] / audit["n"] if audit["n"] else None)
+    return _told(named, told, recall)
+
+
+def _compared(routed: DataFrame, paths: dict[int, str], sizes: dict[int, int], width: int, dtype, cosine: float) -> DataFrame:
+    """a, b, n: a has n links with vectors that it met in a cell, and is connected with b."""
+    spark = routed.sparkSession
+    folder = scratch_path(spark, "blocks")
+    visits = routed.select("vec_id", "dim", "v", F.slice("cells", 1, width).alias("cells"), F.posexplode(F.slice("cells", 1, width)).alias("rank", "cell")).where("cell >= 0")
+    sized = visits.groupBy("dim", "cell").agg(F.sum(F.when(F.col("rank") == 0, 1).otherwise(0)).alias("own"), F.count(F.lit(1)).alias("all"))
+    most = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))
+    great = sized.withColumn("most", most).where("own > most or all - own > 4 * most")
+    great = great.select("dim", "cell", F.ceil(F.col("own") / F.col("most")).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("own")) / F.col("most")).cast("int").alias("more"))
+    great = stored(great, "great")  # at most a row for so many vectors as a block holds
+    chosen = F.xxhash64("vec_id", F.lit(31))
+    block = F.when(F.col("blocks").isNull(), -1).when(F.col("rank") == 0, F.pmod(chosen, F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(chosen, F.col("more"))).cast("int")
+    dealt = visits.join(F.broadcast(great), ["dim", "cell"], "left").select("vec_id", "dim", "v", "cells", "cell", block.alias("block"), (F.col("rank") > 0).alias("visitor"))
+    pivots: dict = {}
+
+    def pivot(d, cell):
+        if d not in pivots:
+            f = load(paths[d])
+            pivots[d] = f["x"].reshape(-1, d)
+        return pivots[d][cell]
+
+    shape = {"a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "dim": pa.int32(), "cell": pa.int32(), "block": pa.int32(), "visitor": pa.bool_(), "path": pa.string()}
+
+    def first(key, group):
+        d, cell, block = (k.as_py() for k in key)
+        visitor = group.column("visitor").to_numpy()
+        ids, raw, cells = group.column("vec_id").to_numpy(), unpack(group.column("v"), dtype, d), unlist(group.column("cells"), width)
+        if block < 0:
+            one, two = (Rows(ids[at], unit(raw[at]), cells[at], pivot(d, cell), cosine) for at in (~visitor, visitor))
+            out = [meet_own(one, cosine).batch()]
+            if one.core.any():
+                out.append(core_links(one, int(one.core.sum()), int(one.ids[one.core].min())))
+            if len(two.ids) and len(one.ids):
+                out.append(meet_two(one, two, cosine, cell).batch())
+            got = pa.Table.from_batches(out)
+            return pa.table({k: got.column(k) if k in "abn" else pa.nulls(len(got), t) for k, t in shape.items()})
+        path = new_path(folder, "block")
+        core = Rows(ids, unit(raw), cells, pivot(d, cell), cosine).core & ~visitor
+        save(path, ids=ids, x=raw, cells=cells)
+        release()
+        told = {"a": None, "b": int(ids[core].min()) if core.any() else None, "n": int(core.sum()), "dim": d, "cell": cell, "block": block, "visitor": bool(visitor[0]), "path": path}
+        return pa.table({k: pa.array([told[k]], t) for k, t in shape.items()})
+
+    n = max(parts(spark), -(-sum(8 * d * m for d, m in sizes.items()) * width // (64 << 20)))
+    told = "a long, b long, n long, dim int, cell int, block int, visitor boolean, path string"
+    found = stored(dealt.repartition(n, "dim", "cell", "block").groupBy("dim", "cell", "block").applyInArrow(first, told), "links")
+    links = found.where("path IS NULL").select("a", "b", "n")
+    if not great.limit(1).count():
+        return links
+    blocks = found.where("path IS NOT NULL")
+    cores = blocks.groupBy("dim", "cell").agg(F.sum("n").alias("core"), F.min("b").alias("least"))
+    one = blocks.where("NOT visitor").select("dim", "cell", F.col("block").alias("i"), F.col("path").alias("i_path"))
+    two = blocks.select("dim", "cell", F.col("block").alias("j"), F.col("path").alias("j_path"), "visitor")
+    met = one.join(two, ["dim", "cell"]).where("i <= j").join(cores, ["dim", "cell"])
+
+    def read(path, d, cell):
+        f = load(path)
+        return Rows(f["ids"], unit(f["x"].reshape(-1, d)), f["cells"].reshape(-1, width), pivot(d, cell), cosine)
+
+    def then(batches):
+        for batch in batches:
+            for d, cell, i, path, j, other, visitor, core, least in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = read(path, d, cell)
+                if i == j:
+                    yield meet_own(rows, cosine).batch()
+                    if rows.core.any():
+                        yield core_links(rows, core, least)
+                else:
+                    yield meet_two(rows, read(other, d, cell), cosine, cell if visitor else None).batch()
+
+    met = met.select("dim", "cell", "i", "i_path", "j", "j_path", "visitor", "core", "least").repartition(n, "dim", "cell", "i", "j")
+    return links.union(stored(met.mapInArrow(released(then), "a long, b long, n long"), "links"))
 
 
 def _told(named: DataFrame, found: DataFrame, recall: float | None) -> DataFrame:
