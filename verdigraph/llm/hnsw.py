@@ -156,40 +156,46 @@ class Graph:
 
 def _search(x, near, q, entry, beam) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of one layer for all queries in step: each expands its best unexpanded entries until its beam has none left."""
-    n, width = len(q), near.shape[1]
-    ids = np.full((n, beam), -1, np.int64)
-    sims = np.full((n, beam), -2.0, np.float32)
-    open_ = np.zeros((n, beam), bool)
+    n, none = len(q), len(x)
+    links = np.concatenate([np.where(near < 0, none, near), np.full((1, near.shape[1]), none, near.dtype)])
+    told, found = np.full((n, beam), -1, np.int64), np.full((n, beam), -2.0, np.float32)
+    ids, sims, open_ = np.full((n, beam), none, np.int64), found.copy(), np.zeros((n, beam), bool)
     ids[:, 0], sims[:, 0], open_[:, 0] = entry, np.einsum("bd,bd->b", x[entry], q), True
-    seen = np.zeros((n, len(x)), bool)
-    seen[np.arange(n), entry] = True
+    seen = np.zeros((n, none + 1), bool)
+    seen[np.arange(n), entry] = seen[:, none] = True
+    seen = seen.ravel()
     live = np.arange(n)
     together = min(TOGETHER, beam)
     while len(live):
-        s = np.where(open_[live], sims[live], -3)
+        s = np.where(open_, sims, -3)
         top = np.argpartition(-s, together - 1, axis=1)[:, :together]
-        real = np.take_along_axis(s, top, 1) > -3
-        nodes = np.where(real, np.take_along_axis(ids[live], top, 1), -1)
-        flags = open_[live]
-        np.put_along_axis(flags, top, False, 1)
-        nbrs = np.where(nodes[:, :, None] >= 0, near[np.maximum(nodes, 0)], -1).reshape(len(live), -1).astype(np.int64)
+        nodes = np.where(np.take_along_axis(s, top, 1) > -3, np.take_along_axis(ids, top, 1), none)
+        np.put_along_axis(open_, top, False, 1)
+        nbrs = links[nodes].reshape(len(live), -1)
         nbrs.sort(axis=1)
-        bad = nbrs < 0
+        bad = seen.take(nbrs + (live * (none + 1))[:, None])
         bad[:, 1:] |= nbrs[:, 1:] == nbrs[:, :-1]
-        bad |= seen[live[:, None], np.maximum(nbrs, 0)]
         r, c = np.nonzero(~bad)
-        seen[live[r], nbrs[r, c]] = True
-        got = np.full(nbrs.shape, -2.0, np.float32)
-        got[r, c] = np.einsum("kd,kd->k", x[nbrs[r, c]], q[live[r]])
-        all_i = np.concatenate([ids[live], np.where(bad, -1, nbrs)], axis=1)
-        all_s = np.concatenate([sims[live], got], axis=1)
-        all_o = np.concatenate([flags, ~bad], axis=1)
-        best = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-        ids[live], sims[live] = np.take_along_axis(all_i, best, 1), np.take_along_axis(all_s, best, 1)
-        open_[live] = np.take_along_axis(all_o, best, 1)
-        live = live[open_[live].any(axis=1)]
-    order = np.argsort(-sims, axis=1)
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        new = nbrs[r, c]
+        seen[live[r] * (none + 1) + new] = True
+        got = np.einsum("kd,kd->k", x[new], q[live[r]])
+        better = got > sims.min(axis=1)[r]  # others would leave the beam at once
+        r, new, got = r[better], new[better], got[better]
+        count = np.bincount(r, minlength=len(live))
+        if len(r):
+            c = beam + np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            wide = ((0, 0), (0, int(count.max())))
+            all_i, all_s, all_o = np.pad(ids, wide, constant_values=none), np.pad(sims, wide, constant_values=-2), np.pad(open_, wide)
+            all_i[r, c], all_s[r, c], all_o[r, c] = new, got, True
+            best = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
+            ids, sims, open_ = (np.take_along_axis(z, best, 1) for z in (all_i, all_s, all_o))
+        more = open_.any(axis=1)
+        if not more.all():
+            told[live[~more]], found[live[~more]] = ids[~more], sims[~more]
+            live, ids, sims, open_ = live[more], ids[more], sims[more], open_[more]
+    order = np.argsort(-found, axis=1)
+    told, found = np.take_along_axis(told, order, 1), np.take_along_axis(found, order, 1)
+    return np.where(found > -1.5, told, -1), found
 
 
 def exact(q: np.ndarray, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
