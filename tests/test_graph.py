@@ -345,3 +345,20 @@ def test_callers_by_name_send_kinds_not_nodes(spark, monkeypatch):
     many = spark.range(400).select(F.lit("u").alias("unit"), F.lit("f").alias("file_key"), F.col("id").alias("node"), F.expr("concat('a', id % 4)").alias("name"), F.lit(False).alias("static"), F.expr("array(named_struct('name', concat('a', (id + 1) % 4)))").alias("calls"))
     found = G.callers_by_name(many.select(F.col("node").alias("start")), many, 2)
     assert found.count() == 400 * 200 and max(df.count() for df in kept) <= 400 and max(metrics(found, "shuffleRecordsWritten"), default=0) <= 400
+
+
+def test_callers_by_name_send_no_row_for_each_start_and_kind(spark, monkeypatch):
+    many = spark.range(600).select(F.lit("u").alias("unit"), F.expr("concat('f', id % 50)").alias("file_key"), F.col("id").alias("node"), F.expr("concat('a', id % 4)").alias("name"), F.expr("id % 3 = 0").alias("static"), F.expr("array(named_struct('name', concat('a', (id + 1) % 4)))").alias("calls"))
+    starts = many.select(F.col("node").alias("start"))
+    want = sorted(tuple(r) for r in G.caller_levels(starts, G.callers(many), 2).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = G.callers_by_name(starts, many, 2)
+        assert max(metrics(found, "shuffleRecordsWritten")) < 20_000 < len(want)
+        assert sorted(tuple(r) for r in found.collect()) == want
+        monkeypatch.setattr(G, "DEALT", 5)  # kinds, starts and blocks are cut
+        monkeypatch.setattr(G, "LISTED", 2)
+        assert sorted(tuple(r) for r in G.callers_by_name(starts, many, 2).collect()) == want
+        assert not G.callers_by_name(starts.where("start < 0"), many, 2).collect() and not G.callers_by_name(starts, many.where("node < 0"), 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
